@@ -77,6 +77,7 @@ def boundary_rows(
     order: Sequence[Column],
     goals: DataFrame,
     weight: str | None = None,
+    few: bool | None = None,
 ) -> DataFrame:
     """Of each key the row at which the running weight, in ``order``, reaches its goal.
 
@@ -85,6 +86,7 @@ def boundary_rows(
     per (partition, key) locate the partition by prefix sums; only that
     partition's rows are ranked. A key whose total is below its goal, or whose
     goal is not positive, has no row. Adds ``_before``, the weight of the rows ahead.
+    ``few`` says that the goals are known to be few; else their number is checked.
     """
     keys = list(keys)
     w = F.col(weight) if weight else F.lit(1)
@@ -98,7 +100,7 @@ def boundary_rows(
     )
     inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        ranged.join(broadcast_if_small(placed), [*keys, "_part"])
+        ranged.join(F.broadcast(placed) if few or (few is None and small(goals)) else placed, [*keys, "_part"])
         .withColumn("_run", F.col("_ahead") + F.sum(w).over(inside))
         .where((F.col("_run") >= F.col("goal")) & (F.col("_run") - w < F.col("goal")))
         .withColumn("_before", F.col("_run") - w)
