@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capping, collapse, cutoff, leaks, lookalike, splits
+from ..functions.keys import source_key
+from . import capping, collapse, cutoff, language, leaks, lookalike, mixing, overlap, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,6 +97,45 @@ def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
     return _spans(spark, folder)
 
 
+def _overlaps(spark: SparkSession, folder: str) -> overlap.Overlaps:
+    return overlap.Overlaps(table(spark, folder, "unified"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _overlaps(spark, folder).pairs().select("id_a", "id_b")
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluation rows that stand in training, exactly or almost, by split and source."""
+    unified = table(spark, folder, "unified").select(
+        F.col("sample_index").alias("_id"), source_key(F.coalesce("dataset_source", F.lit(""))).alias("dataset_source")
+    )
+    touched = _overlaps(spark, folder).touched().join(unified, "_id")
+    return touched.groupBy("split", "dataset_source").agg(
+        F.count_if("exact").alias("exact_rows"), F.count_if("near").alias("near_rows"), F.count("*").alias("overlapping_rows")
+    )
+
+
+def _mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p8_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).selection
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).report
+
+
+def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_stretches(table(spark, folder, "documents"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.mislabelled(p9_segments(spark, folder)).select("doc_id", "seg_no", "lang")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -110,7 +150,13 @@ QUERIES: dict[str, Query] = {
         p4_shares,
         p5_found,
         p5_forms,
+        p6_found,
+        p6_report,
         p7_found,
         p7_spans,
+        p8_selection,
+        p8_shares,
+        p9_found,
+        p9_segments,
     )
 }
