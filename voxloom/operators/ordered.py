@@ -33,18 +33,37 @@ def running_best(df: DataFrame, order: str, loss: str, gap: str, by: Sequence[st
     return df.withColumn("best_loss", F.coalesce(better_loss, F.lit(False))).withColumn("best_gap", F.coalesce(better_gap, F.lit(False)))
 
 
-def rolling_rate(df: DataFrame, at: str, tiebreak: str, by: Sequence[str], last: int = 100) -> DataFrame:
-    """``df`` with calls_per_minute over the last ``last`` rows of each group; 0 for one row or no time between."""
-    w = Window.partitionBy(*by).orderBy(at, tiebreak).rowsBetween(-(last - 1), 0)
+def rolling_rate(df: DataFrame, at: str, order: Sequence[Column], last: int = 100, chunk: int = 50_000) -> DataFrame:
+    """``df`` with calls_per_minute over the last ``last`` rows in order; 0 for one row or no time between.
+
+    The order is global, the work isn't: rows are cut into chunks of positions, each chunk also gets the
+    ``last`` - 1 rows before it, and windows stay inside a chunk.
+    """
+    placed = global_position(df, order, "_pos")
+    own = F.floor(F.col("_pos") / chunk)
+    late = F.col("_pos") % chunk >= chunk - (last - 1)
+    copies = placed.withColumn("_chunk", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy("_chunk").orderBy("_pos").rowsBetween(-(last - 1), 0)
     n = F.count("*").over(w)
-    seconds = (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.min(F.col(at).cast("timestamp")).over(w))) / 1e6
-    return df.withColumn("calls_per_minute", F.when((n >= 2) & (seconds > 0), n / seconds * 60).otherwise(F.lit(0.0)))
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    seconds = (micros - F.min(micros).over(w)) / 1e6
+    rated = copies.withColumn("calls_per_minute", F.when((n >= 2) & (seconds > 0), n / seconds * 60).otherwise(F.lit(0.0)))
+    return rated.where(F.col("_chunk") == own).drop("_pos", "_chunk")
 
 
-def counters(df: DataFrame, at: str, tiebreak: str, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
-    """``df`` with running sums in order; null adds nothing."""
-    w = Window.partitionBy(*by).orderBy(at, tiebreak).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumns({name: F.sum(F.coalesce(c.cast("bigint"), F.lit(0))).over(w) for name, c in sums.items()})
+def counters(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with running sums in a global order; null adds nothing.
+
+    Range partitions are summed first; each row adds the sums of the partitions before its own.
+    """
+    adds = {f"_a_{n}": F.coalesce(c.cast("bigint"), F.lit(0)) for n, c in sums.items()}
+    ranged = range_sorted(df.withColumns(adds), [], order)
+    totals = ranged.groupBy("_part").agg(*[F.sum(a).alias(a) for a in adds])
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_part", *[F.coalesce(F.sum(a).over(ahead), F.lit(0)).alias(f"_b{a}") for a in adds])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = {n: F.col(f"_b_a_{n}") + F.sum(f"_a_{n}").over(inside) for n in sums}
+    return ranged.join(F.broadcast(before), "_part").withColumns(out).select(*df.columns, *sums)
 
 
 def remaining_seconds(done: Column, total: Column, elapsed: Column) -> Column:

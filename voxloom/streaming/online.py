@@ -13,13 +13,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.text import norm_key
 
 
-def call_rates(calls: DataFrame, at: str = "ts", window: str = "1 hour", late: str = "2 days") -> DataFrame:
+def call_rates(calls: DataFrame, at: str = "ts", window: str = "1 hour", late: str | None = "2 days") -> DataFrame:
     """Calls, successes and tokens by event-time window; rows later than ``late`` are dropped with their window closed.
 
-    Works on a stream or a batch alike (a batch has no watermark).
+    Works on a stream or a batch alike (a batch has no watermark). A stream that has its
+    watermark already takes ``late=None``.
     """
-    timed = calls.withColumn(at, F.col(at).cast("timestamp"))
-    timed = timed.withWatermark(at, late) if calls.isStreaming else timed
+    timed = calls
+    if late is not None:
+        timed = calls.withColumn(at, F.col(at).cast("timestamp"))
+        timed = timed.withWatermark(at, late) if calls.isStreaming else timed
     return (
         timed.groupBy(F.window(at, window).alias("w"))
         .agg(
