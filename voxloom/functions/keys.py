@@ -21,8 +21,12 @@ def filled_key(c: Column) -> Column:
 
 
 def letters_digits(c: Column) -> Column:
-    """The sequence of letters and digits, case ignored (also of letters such as sharp s)."""
-    return F.lower(F.upper(F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")))
+    """The sequence of letters and digits, case ignored.
+
+    Upper case comes first, so that letters with a longer upper case (sharp s) meet it; directly around it
+    the optimizer would drop it.
+    """
+    return F.lower(F.regexp_replace(F.upper(c), r"[^\p{L}\p{N}]+", ""))
 
 
 def word_line(c: Column) -> Column:

@@ -41,9 +41,9 @@ def spread_join(
     salt: Column,
     how: str = "inner",
 ) -> DataFrame:
-    """Join ``rows`` with ``table`` (one row a key) without one task per hot key.
+    """Join ``rows`` with ``table`` without one task per hot key.
 
-    ``size`` is the table's column with the number of rows each key has, and
+    ``size`` is the table's column with the number of ``rows`` each key has, and
     ``total`` their sum at most. Keys above ``hot_limit(total)`` are cut into
     slices by ``salt``; as sizes add up to ``total`` there are at most HOT_PARTS
     such keys, so their list is safe to broadcast. ``size`` is dropped.
@@ -52,7 +52,7 @@ def spread_join(
     if total <= limit:
         return rows.join(table.drop(size), list(keys), how)
     hot = F.broadcast(
-        table.where(F.col(size) > limit).select(*keys, F.ceil(F.col(size) / limit).cast("int").alias("_slices"))
+        table.where(F.col(size) > limit).select(*keys, F.ceil(F.col(size) / limit).cast("int").alias("_slices")).distinct()
     )
     left = rows.join(hot, list(keys), "left").withColumn(
         "_slice", F.when(F.col("_slices").isNull(), 0).otherwise(F.pmod(F.xxhash64(salt), F.col("_slices"))).cast("int")
