@@ -14,7 +14,7 @@ from .fmindex import FMIndex
 from .words import WORD, words
 
 #: Evaluation words that one index pass takes at most; more items are taken in blocks.
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 200_000
 #: Words of training text that one index holds at most (a longer document is one index).
 SHARD_WORDS = 1 << 19
 

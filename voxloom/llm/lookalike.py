@@ -21,7 +21,7 @@ LOOKALIKES = """
 а a  е e  о o  р p  с c  у y  х x  ѕ s  і i  ј j  һ h  ԛ q  ԝ w  ԁ d  ӏ l
 Α A  Β B  Ε E  Ζ Z  Η H  Ι I  Κ K  Μ M  Ν N  Ο O  Ρ P  Τ T  Υ Y  Χ X
 ο o  ν v  ρ p  ϲ c  ϳ j  ı i  ɡ g  ɑ a
-‐ -  ‑ -  ﹣ -  ʹ '  ‘ ‘  ’ ’
+‐ -  ‑ -
 """
 # Compatibility forms that differ in width, in joining or as a ligature only.
 SAME_LOOK = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<small>", "<noBreak>")
