@@ -1,0 +1,76 @@
+import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from voxloom.sources import readers, trainlog, writers
+from voxloom.streaming import online
+
+
+def test_split_slice():
+    assert readers.split_slice("test") == ("test", None) and readers.split_slice("test[:10]") == ("test", 10)
+    with pytest.raises(ValueError):
+        readers.split_slice("test[3:4]")
+
+
+def test_tables(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "train"), (2, "b", "test"), (30, "c", "test")], "sample_index int, text string, split string")
+    writers.save_splits(df, str(tmp_path / "t"))
+    got = readers.load_table(spark, str(tmp_path / "t"), split="test[:10]")
+    assert [r["text"] for r in got.collect()] == ["b"]
+    assert "PartitionFilters: [isnotnull(split" in got._jdf.queryExecution().executedPlan().toString()
+    writers.replace_splits(df.where("split = 'test' AND sample_index = 2"), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    assert readers.first_readable(spark, [str(tmp_path / "no"), str(tmp_path / "t")]).count() == 2
+    with pytest.raises(AnalysisException):
+        readers.first_readable(spark, [str(tmp_path / "no")])
+
+
+def test_json_and_files(spark, tmp_path):
+    (tmp_path / "r.json").write_text('[{"a": 1}, {"a": null}]')
+    assert readers.read_records(spark, str(tmp_path / "r.json")).count() == 2
+    (tmp_path / "x.mp3").write_bytes(b"12345")
+    (tmp_path / "y.txt").write_bytes(b"1")
+    listed = readers.list_files(spark, str(tmp_path))
+    assert [(r["filename"], r["file_size"]) for r in listed.collect()] == [("x.mp3", 5)]
+    df = spark.createDataFrame([('["a","b"]',), ("[",), (None,)], "t string").select(readers.sentences_of_response(F.col("t")).alias("s"))
+    assert [r["s"] for r in df.collect()] == [["a", "b"], None, None]
+    small = spark.createDataFrame([(2, 1), (1, 5)], "wc int, n int")
+    writers.save_small_csv(small, str(tmp_path / "h"), ["wc"])
+    assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "h"), "wc int, n int").collect()] == [(1, 5), (2, 1)]
+    assert writers.nested_json(small.limit(1), {"g": ["wc"]}).first()[0] == '{"g":{"wc":2}}'
+    assert writers.card(small.limit(1), "T", ["wc"]).first()[0] == "# T\nwc: 2"
+
+    def fail():
+        raise OSError("full")
+
+    assert [x[:2] for x in writers.publish({"a": fail, "b": lambda: None})] == [("a", False), ("b", True)]
+    assert small.select(readers.setting(small, "none", 3)).first()[0] == 3
+
+
+LOG = [
+    "2025-07-01 10:00:00,123 - INFO - Epoch 1/3 - Train Loss: 0.9, Val Loss: 0.8, Clean Sim: 0.6, Corrupt Sim: 0.5, Gap: 0.1, Time: 12.5s",
+    "2025-07-01 10:00:01,123 - INFO - New best gap",
+    "20",
+    "O - Optimizer step",
+    "2025-07-01 10:01:00,000 - INFO - Epoch 2/3 - Train Loss: 0.7, Val Loss: 0.5, Gap: 0.3, Time: 10s",
+    "2025-07-01 10:02:00,000 - WARNING - Epoch",
+    "2025-07-01 10:03:00,000 - INFO - Epoch 3/3 - Train Loss: 0.6, Val Loss: 0.5, Gap:",
+]
+
+
+def test_training_log(spark):
+    m = trainlog.epoch_metrics(spark.createDataFrame([(x,) for x in LOG], "value string"))
+    got = {r["epoch"]: (r["val_loss"], r["gap"], r["seconds"]) for r in m.collect()}
+    assert got == {1: (0.8, 0.1, 12.5), 2: (0.5, 0.3, 10.0), 3: (0.5, None, None)}
+    b = trainlog.best_epochs(m).first()
+    assert (b["best_loss_epoch"], b["best_gap_epoch"], b["total_seconds"]) == (2, 2, 22.5)
+    none = trainlog.epoch_metrics(spark.createDataFrame([], "value string"))
+    assert trainlog.best_epochs(none).first()["best_loss_epoch"] is None
+
+
+def test_batch_forms_of_streams(spark):
+    df = spark.createDataFrame([("A ", 1), ("a", 2), (None, 3)], "s string, t int").withColumn("ts", F.timestamp_seconds("t"))
+    assert online.unique_sentences(df, "s").count() == 2
+    calls = df.withColumns({"ok": F.lit(True), "input_tokens": F.lit(None).cast("bigint")})
+    r = online.call_rates(calls).first()
+    assert (r["calls"], r["ok_calls"], r["input_tokens"]) == (3, 3, 0)
