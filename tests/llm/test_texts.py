@@ -311,7 +311,7 @@ def test_languages(spark):
 
 def test_stretches():
     def bits(*langs):
-        return np.array([[0.0 if k == x else 40.0 for k in range(3)] for x in langs])
+        return np.array([[0.0 if k == x else 150.0 for k in range(3)] for x in langs])
 
     assert language.stretches(bits(0, 0, 1, 1)) == [(0, 2, 0), (2, 4, 1)]
     assert language.stretches(bits(0, 0, 1, 0, 0)) == [(0, 5, 0)]

@@ -18,15 +18,15 @@ from .labels import LANGUAGES, language_of_label
 #: Longest context in bytes.
 ORDER = 4
 #: The labelled sample the model is fitted on: documents of each language, and their longest text in characters.
-SAMPLE_DOCUMENTS, SAMPLE_CHARS = 300, 8_000
+SAMPLE_DOCUMENTS, SAMPLE_CHARS = 200, 8_000
 #: Rounds in which sample sentences that fit another language better than their label are left out.
-CLEANINGS = 2
+CLEANINGS = 1
 #: Bits that a change of language within a document costs.
-CHANGE_BITS = 24.0
+CHANGE_BITS = 100.0
 #: The odds of a language are 2 ** (bits / this), as words of a sentence aren't independent.
 TEMPER_BITS = 8.0
 #: Words that make a unit of text a sentence of its own; shorter ones belong to a neighbour.
-LEAST_WORDS = 3
+LEAST_WORDS = 6
 #: Scored words that a worker remembers.
 MEMORY = 400_000
 
