@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import word_line
+from ..operators.spread import hot_limit, spread_join
 from ..storage import cut
 
 #: Buckets of the word-frequency sketch: its size, and that of what is broadcast, is fixed.
@@ -23,10 +24,6 @@ RARE = 4.0
 CLASSES = ((4, 64, 4), (52, 256, 2), (205, 1 << 60, 1))
 
 
-def edits_allowed(words: Column) -> Column:
-    return F.floor(words / 5).cast("int")
-
-
 class Shingles:
     """Keys of a text: combinations of its rarest words such that every pair within the bound shares one.
 
@@ -132,10 +129,14 @@ def _encoded(line: Column) -> Column:
     return F.decode(F.unhex(F.array_join(chars, "")), "UTF-16BE")
 
 
+def _hashes() -> Column:
+    return F.transform(F.split("_line", " "), lambda w: F.xxhash64(w))
+
+
 def _sketch(classes: DataFrame) -> tuple[np.ndarray, int]:
     """How many texts have a word of each bucket (at least 1), and the number of texts."""
     rows = (
-        classes.select(F.explode(F.array_distinct("_words")).alias("w"))
+        classes.select(F.explode(F.array_distinct(_hashes())).alias("w"))
         .groupBy(F.col("w").bitwiseAND(F.lit(SKETCH - 1)).cast("int").alias("bucket"))
         .agg(F.least(F.count("*"), F.lit(2**31 - 1)).cast("int").alias("n"))
     )
@@ -146,7 +147,7 @@ def _sketch(classes: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _keys(classes: DataFrame, shingles, bits=None) -> DataFrame:
-    """(_cid, key, n, place) of classes (_cid, _words); with ``bits`` only keys in that map."""
+    """(_cid, key, n, place) of classes (_cid, _line); with ``bits`` only keys in that map."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(bits.value, np.uint8) if bits is not None else None
@@ -168,7 +169,7 @@ def _keys(classes: DataFrame, shingles, bits=None) -> DataFrame:
             )
 
     id_type = classes.schema["_cid"].dataType.simpleString()
-    return classes.select("_cid", "_words").mapInArrow(make, f"_cid {id_type}, key bigint, n int, place int")
+    return classes.select("_cid", _hashes().alias("_words")).mapInArrow(make, f"_cid {id_type}, key bigint, n int, place int")
 
 
 def _key_map(keys: DataFrame) -> bytes:
@@ -250,26 +251,29 @@ class Overlaps:
         base = rows.select(
             F.col(id_col).alias("_id"), F.col(split).alias("split"), word_line(F.col(text)).alias("_line")
         ).where(F.col("split").isin(train, *evaluation) & (F.col("_line") != "") & F.col("_id").isNotNull())
-        printed = base.withColumn("_print", F.unhex(F.sha2("_line", 256)))
+        printed = base.withColumn("_print", F.unhex(F.md5("_line")))
         is_train = F.col("split") == train
-        classes = cut(
-            printed.groupBy("_print")
-            .agg(
+        self.classes = cut(
+            printed.groupBy("_print").agg(
                 F.min("_id").alias("_cid"),
                 F.first("_line").alias("_line"),
                 F.max(is_train).alias("_t"),
                 F.max(~is_train).alias("_e"),
-            )
-            .withColumn("_words", F.transform(F.split("_line", " "), lambda w: F.xxhash64(w))),
+                F.count("*").alias("_size"),
+            ),
             "classes",
         )
-        self.members = printed.select("_id", "split", "_print").join(classes.select("_print", "_cid"), "_print").select("_id", "_cid", "split")
+        self.total = self.classes.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+        named = self.classes.select("_print", "_cid", "_size")
+        self.members = spread_join(printed.select("_id", "split", "_print"), named, ["_print"], "_size", self.total, F.col("_id")).select(
+            "_id", "_cid", "split"
+        )
         self.train = train
-        self.links = self._links(classes)
+        self.links = self._links(self.classes)
 
     def _links(self, classes: DataFrame) -> DataFrame:
         spark = classes.sparkSession
-        longer = classes.where(F.size("_words") >= CLASSES[0][0])
+        longer = classes.where(F.size(F.split("_line", " ")) >= CLASSES[0][0])
         shared = spark.sparkContext.broadcast(_sketch(longer))
         index = cut(_keys(longer.where("_e"), shared), "index")
         bits = spark.sparkContext.broadcast(_key_map(index))
@@ -287,31 +291,35 @@ class Overlaps:
                     | (F.abs(F.col("e.place") - F.col("t.place")) * 5 <= most)
                 )
             )
-            .select(F.col("e._cid").alias("_cid_e"), F.col("t._cid").alias("_cid_t"))
+            .select(F.col("e._cid").alias("_cid_e"), F.col("t._cid").alias("_cid_t"), most.alias("_most"))
             .distinct()
         )
-        coded = classes.select("_cid", "_line", _encoded(F.col("_line")).alias("_code"))
-        left = coded.select(F.col("_cid").alias("_cid_e"), F.col("_line").alias("_line_e"), F.col("_code").alias("_code_e"))
-        right = coded.select(F.col("_cid").alias("_cid_t"), F.col("_line").alias("_line_t"), F.col("_code").alias("_code_t"))
-        bound = edits_allowed(F.greatest(F.length("_code_e"), F.length("_code_t")))
+        left = classes.where("_e").select(F.col("_cid").alias("_cid_e"), F.col("_line").alias("_line_e"))
+        right = classes.where("_t").select(F.col("_cid").alias("_cid_t"), F.col("_line").alias("_line_t"))
         near = (
             candidates.join(left, "_cid_e")
             .join(right, "_cid_t")
-            .where(F.levenshtein("_code_e", "_code_t") <= bound)
+            .where(F.levenshtein(_encoded(F.col("_line_e")), _encoded(F.col("_line_t"))) * 5 <= F.col("_most"))
         )
         same = classes.where(F.col("_e") & F.col("_t")).select(
             F.col("_cid").alias("_cid_e"), F.col("_cid").alias("_cid_t"), F.lit(0).alias("edits")
         )
         return _verified(near).unionByName(same)
 
+    def _expanded(self, links: DataFrame, cid: str, members: DataFrame, out: str) -> DataFrame:
+        """``links`` with the rows of one side; classes of very many rows are joined in slices."""
+        rows = members.select(F.col("_cid").alias(cid), F.col("_id").alias(out))
+        if self.total > hot_limit(self.total):
+            sized = links.join(self.classes.select(F.col("_cid").alias(cid), "_size"), cid)
+            return spread_join(rows, sized, [cid], "_size", self.total, F.col(out))
+        return links.join(rows, cid)
+
     def pairs(self) -> DataFrame:
         """(id_a, id_b, edits) of rows, id_a < id_b."""
-        e = self.members.where(F.col("split") != self.train).select(F.col("_cid").alias("_cid_e"), F.col("_id").alias("_a"))
-        t = self.members.where(F.col("split") == self.train).select(F.col("_cid").alias("_cid_t"), F.col("_id").alias("_b"))
+        held = self._expanded(self.links, "_cid_e", self.members.where(F.col("split") != self.train), "_a")
+        both = self._expanded(held, "_cid_t", self.members.where(F.col("split") == self.train), "_b")
         return (
-            self.links.join(e, "_cid_e")
-            .join(t, "_cid_t")
-            .where(F.col("_a") != F.col("_b"))
+            both.where(F.col("_a") != F.col("_b"))
             .select(F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b"), "edits")
             .distinct()
         )
