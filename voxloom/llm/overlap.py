@@ -18,7 +18,7 @@ SKETCH = 1 << 20
 #: Bits of the map of evaluation shingles, and bytes of one of its blocks.
 MAP_BITS, MAP_BLOCK = 1 << 23, 1 << 14
 #: A shingle expected in at most so many texts is rare enough to be a key.
-RARE = 4.0
+RARE = 0.3
 #: (least words, most words, most words of a shingle) of the length classes. They overlap by the
 #: ratio that lengths of a pair can have, so a pair always shares a class.
 CLASSES = ((4, 64, 4), (52, 256, 2), (205, 1 << 60, 1))
@@ -265,9 +265,8 @@ class Overlaps:
         )
         self.total = self.classes.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
         named = self.classes.select("_print", "_cid", "_size")
-        self.members = spread_join(printed.select("_id", "split", "_print"), named, ["_print"], "_size", self.total, F.col("_id")).select(
-            "_id", "_cid", "split"
-        )
+        placed = spread_join(printed.select("_id", "split", "_print"), named, ["_print"], "_size", self.total, F.col("_id"))
+        self.members = cut(placed.select("_id", "_cid", "split"), "members")
         self.train = train
         self.links = self._links(self.classes)
 
