@@ -147,15 +147,19 @@ def same_look_pairs(rows: DataFrame, id_col: str, text: str) -> DataFrame:
     with several classes are joined class by class and then expanded to the rows, so
     copies of one string meet only the strings they differ from.
     """
+    # the forms are made once; what is kept of a row is its id and two digests
     shown = with_form(rows.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text").where(
         F.col("form") != ""
     )
-    keyed = shown.select(
-        F.col("_id"), F.unhex(F.sha2("form", 256)).alias("_form"), F.unhex(F.sha2("_text", 256)).alias("_string")
-    ).where(F.col("_id").isNotNull())
+    keyed = cut(
+        shown.select(
+            F.col("_id"), F.unhex(F.md5("form")).alias("_form"), F.unhex(F.md5("_text")).alias("_string")
+        ).where(F.col("_id").isNotNull()),
+        "looks",
+    )
     classes = keyed.groupBy("_form", "_string").agg(F.count("*").alias("_n"))
     several = classes.groupBy("_form").agg(F.min("_string").alias("_lo"), F.max("_string").alias("_hi")).where("_lo != _hi").select("_form")
-    members = cut(keyed.join(several, "_form", "left_semi"), "looks")
+    members = keyed.join(several, "_form", "left_semi")
     one = members.select("_form", "_string").distinct()
     other = one.withColumnRenamed("_string", "_other")
     pairs = one.join(other, "_form").where(F.col("_string") < F.col("_other"))
