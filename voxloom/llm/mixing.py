@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.keys import source_key
 from ..operators.spread import boundary_rows, range_sorted
@@ -206,11 +207,11 @@ class Mixture:
         taken = picked.groupBy("source").agg(F.sum("taken").alias("taken"), (F.max("epoch") + 1).alias("epochs"))
         have = planned.groupBy("source").agg(F.sum("available").alias("available"))
         targets_now = spark.createDataFrame([(s, a, b) for s, (a, b) in goals.items()], "source string, target_share double, max_repeats int")
-        everything = taken.agg(F.sum("taken").alias("_all"))
+        everything = F.sum(F.coalesce("taken", F.lit(0))).over(Window.partitionBy())  # a row a target source
         self.report = (
             targets_now.join(have, "source", "left")
             .join(taken, "source", "left")
-            .join(F.broadcast(everything))
+            .withColumn("_all", everything)
             .select(
                 "source", "target_share", "max_repeats",
                 F.coalesce("available", F.lit(0)).alias("available_tokens"),
