@@ -103,7 +103,7 @@ def test_audio_joins(spark):
 def test_reports(spark):
     df = spark.createDataFrame([(0.1,), (0.5,), (0.9,), (None,), (math.nan,)], "s double")
     d = report.describe(df, F.col("s")).first()
-    assert (d["count"], d["median"], d["p25"]) == (3, 0.5, 0.3)
+    assert (d["count"], d["median"], d["p25"]) == (3, 0.5, pytest.approx(0.3))
     assert rows(report.band_distribution(df, F.col("s")).select("band", "rows")) == [("high", 1), ("low", 1), ("medium", 1)]
     assert rows(report.band_distribution(df.limit(0), F.col("s")).select("pct")) == [(0.0,)] * 3
     f = report.filter_statistics(df, F.col("s")).first()
@@ -164,3 +164,19 @@ def test_subsets(spark):
     assert not all(ok for _, _, ok, _ in subsets.consistency({"a": real, "b": syn}))
     matched = subsets.text_matched(syn.withColumn("audio", F.lit("a")), real.withColumn("audio", F.lit("b")))
     assert rows(matched.groupBy("source").count()) == [("common_voice", 2), ("synthetic_matched", 1)]
+
+
+def test_quantiles(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in (5, 1, 3, 2)] + [(None, 7.0), (None, 9.0), ("b", None)], "k string, v double")
+    got = spread.quantiles(df, ["k"], "v", {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q1": 1.0})
+    assert rows(got) == [("a", 1.0, 1.75, 2.5, 5.0), (None, 7.0, 7.5, 8.0, 9.0)]
+    assert rows(spread.quantiles(df, [], "v", {"m": 0.5})) == [(4.0,)]
+    assert rows(spread.quantiles(df.limit(0), [], "v", {"m": 0.5})) == []
+    same = spark.createDataFrame([("h", 1.0)] * 50 + [("h", 2.0)] * 50, "k string, v double")
+    assert rows(spread.quantiles(same, ["k"], "v", {"m": 0.5})) == [("h", 1.5)]
+
+
+def test_within_goal(spark):
+    df = spark.createDataFrame([("a", i, "x") for i in range(20)] + [("b", 1, "y"), ("c", 2, "z")], "k string, n int, goal string")
+    goals = spark.createDataFrame([("a", 3), ("b", 5), ("c", 0)], "k string, goal bigint")
+    assert rows(spread.within_goal(df, ["k"], ["n"], goals)) == [("a", 0, "x"), ("a", 1, "x"), ("a", 2, "x"), ("b", 1, "y")]

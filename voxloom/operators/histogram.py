@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import norm_key, word_count
+from .spread import within_goal
 
 
 def histogram(df: DataFrame, value: Column, name: str = "wc", count: str = "n") -> DataFrame:
@@ -36,14 +36,11 @@ def bhattacharyya(left: DataFrame, right: DataFrame, key: str = "wc", count: str
 
     Keys on one side add nothing, so an inner join of the two histograms is enough.
     """
-    lt = left.agg(F.sum(count).alias("_lt"))
-    rt = right.agg(F.sum(count).alias("_rt"))
+    lt, rt = (df.agg(F.sum(count)).first()[0] or 0 for df in (left, right))
     both = left.select(key, F.col(count).alias("_l")).join(right.select(key, F.col(count).alias("_r")), key)
-    roots = both.agg(F.sum(F.sqrt(F.col("_l").cast("double") * F.col("_r"))).alias("_s"))
-    # three aggregates of one row each
-    return roots.join(F.broadcast(lt)).join(F.broadcast(rt)).select(
-        F.coalesce(F.col("_s") / F.sqrt(F.col("_lt").cast("double") * F.col("_rt")), F.lit(0.0)).alias("coefficient")
-    )
+    scale = (float(lt) * float(rt)) ** 0.5
+    roots = F.sum(F.sqrt(F.col("_l").cast("double") * F.col("_r")))
+    return both.agg(F.coalesce(roots / scale if scale else F.lit(0.0), F.lit(0.0)).alias("coefficient"))
 
 
 def reject_reason(sentence: Column, target: Column) -> Column:
@@ -73,10 +70,5 @@ def validate(candidates: DataFrame, sentence: str, target: str, arrival: str) ->
 
 def within_quota(accepted: DataFrame, bucket: str, arrival: str, quotas: DataFrame, quota: str = "quota") -> DataFrame:
     """The first ``quota`` arrivals of each bucket; buckets without quota take none."""
-    w = Window.partitionBy(bucket).orderBy(arrival)
-    return (
-        accepted.join(quotas.select(bucket, quota), bucket)
-        .withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= F.col(quota))
-        .drop("_rn", quota)
-    )
+    goals = quotas.where(F.col(bucket).isNotNull()).select(bucket, F.col(quota).cast("bigint").alias("goal"))
+    return within_goal(accepted, [bucket], [arrival], goals)

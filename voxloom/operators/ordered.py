@@ -26,7 +26,10 @@ def global_position(df: DataFrame, order: Sequence[Column], out: str = "position
 
 
 def running_best(df: DataFrame, order: str, loss: str, gap: str, by: Sequence[str] = ()) -> DataFrame:
-    """Flags of strict improvements: of the loss from infinity, of the gap from 0. Null never improves."""
+    """Flags of strict improvements: of the loss from infinity, of the gap from 0. Null never improves.
+
+    For metric series, a row an epoch; several runs are told apart by ``by``.
+    """
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     better_loss = F.col(loss) < F.coalesce(F.min(loss).over(w), F.lit(float("inf")))
     better_gap = F.col(gap) > F.greatest(F.coalesce(F.max(gap).over(w), F.lit(0.0)), F.lit(0.0))

@@ -8,23 +8,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import band, nan_to_null
+from .spread import quantiles
 
 
 def describe(df: DataFrame, value: Column, by: Sequence[str] = (), sample: bool = True) -> DataFrame:
-    """count, mean, median, std (of a sample or the population), min, max, p25, p75; null and NaN are left out."""
+    """count, mean, median, std (of a sample or the population), min, max, p25, p75; null and NaN are left out.
+
+    Quantiles are exact and come from range-sorted values, the rest from one partial aggregate.
+    """
     v = F.col("_v")
     rows = df.select(*by, nan_to_null(value.cast("double")).alias("_v"))
-    aggs = [
+    stats = rows.groupBy(*by).agg(
         F.count(v).alias("count"),
         F.avg(v).alias("mean"),
-        F.percentile(v, F.lit(0.5)).alias("median"),
         (F.stddev_samp(v) if sample else F.stddev_pop(v)).alias("std"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
-        F.percentile(v, F.lit(0.25)).alias("p25"),
-        F.percentile(v, F.lit(0.75)).alias("p75"),
-    ]
-    return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
+    )
+    out = with_quantiles(stats, rows, by, "_v", {"median": 0.5, "p25": 0.25, "p75": 0.75})
+    return out.select(*by, "count", "mean", "median", "std", "min", "max", "p25", "p75")
+
+
+def with_quantiles(stats: DataFrame, rows: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``stats`` (a row a group) with exact quantiles of ``rows``; groups without values get nulls."""
+    q = quantiles(rows, by, value, shares)
+    if not by:
+        one = q.first()  # one row of numbers
+        return stats.withColumns({n: F.lit(one[n] if one else None).cast("double") for n in shares})
+    match = None
+    for k in by:
+        test = stats[k].eqNullSafe(q[k])
+        match = test if match is None else match & test
+    return stats.join(q, match, "left").select(*[stats[c] for c in stats.columns], *[q[n] for n in shares])
 
 
 def band_distribution(df: DataFrame, score: Column, inclusive_high: bool = False) -> DataFrame:
@@ -38,18 +53,17 @@ def band_distribution(df: DataFrame, score: Column, inclusive_high: bool = False
 
 
 def filter_statistics(df: DataFrame, score: Column, threshold: float = 0.8) -> DataFrame:
-    """What filtering by ``score >= threshold`` keeps, with the scores' statistics and bands, in one pass."""
+    """What filtering by ``score >= threshold`` keeps, with the scores' statistics and bands; the median is exact and range-sorted."""
     rows = df.select(nan_to_null(score.cast("double")).alias("s"))
     s = F.col("s")
     kept = F.count_if(s >= threshold)
     b = band(s, inclusive_high=True)
-    return rows.agg(
+    stats = rows.agg(
         F.count("*").alias("total_samples"),
         kept.alias("filtered_samples"),
         F.when(F.count("*") > 0, kept / F.count("*") * 100).otherwise(F.lit(0.0)).alias("filtered_percentage"),
         F.lit(threshold).alias("threshold"),
         F.avg(s).alias("mean"),
-        F.percentile(s, F.lit(0.5)).alias("median"),
         F.stddev_pop(s).alias("std"),
         F.min(s).alias("min"),
         F.max(s).alias("max"),
@@ -57,19 +71,33 @@ def filter_statistics(df: DataFrame, score: Column, threshold: float = 0.8) -> D
         F.count_if(b == "medium").alias("medium_quality"),
         F.count_if(b == "low").alias("low_quality"),
     )
+    return with_quantiles(stats, rows, (), "s", {"median": 0.5})
 
 
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, Column, Column]]) -> DataFrame:
     """(pair, r) of Pearson correlations over rows where both are there; null for a constant column."""
-    one = df.agg(*[F.corr(nan_to_null(a.cast("double")), nan_to_null(b.cast("double"))).alias(n) for n, a, b in pairs])
-    names = ", ".join(f"'{n}', `{n}`" for n, _, _ in pairs)
-    return one.selectExpr(f"stack({len(pairs)}, {names}) AS (pair, r)").select("pair", F.when(~F.isnan("r"), F.col("r")).alias("r"))
+    numbers = []
+    for i, (_, a, b) in enumerate(pairs):
+        x, y = nan_to_null(a.cast("double")), nan_to_null(b.cast("double"))
+        both = x.isNotNull() & y.isNotNull()
+        numbers += [F.when(both, x).alias(f"_x{i}"), F.when(both, y).alias(f"_y{i}")]
+    rows = df.select(*numbers)
+    # from the covariance, as corr itself divides by zero on a constant column
+    one = rows.agg(
+        *[
+            F.try_divide(F.covar_pop(f"_x{i}", f"_y{i}"), F.stddev_pop(f"_x{i}") * F.stddev_pop(f"_y{i}")).alias(f"_r{i}")
+            for i in range(len(pairs))
+        ]
+    )
+    names = ", ".join(f"'{n}', _r{i}" for i, (n, _, _) in enumerate(pairs))
+    return one.selectExpr(f"stack({len(pairs)}, {names}) AS (pair, r)")
 
 
 def _range(df: DataFrame, value: Column, others: Sequence[Column]) -> DataFrame:
-    rows = df.select(nan_to_null(value.cast("double")).alias("_x"), *others)
-    limits = rows.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    return rows.where(F.col("_x").isNotNull()).join(F.broadcast(limits))  # one row of limits
+    """The values with the least and largest of all beside them (two numbers from the driver)."""
+    rows = df.select(nan_to_null(value.cast("double")).alias("_x"), *others).where(F.col("_x").isNotNull())
+    lo, hi = rows.agg(F.min("_x"), F.max("_x")).first()
+    return rows.withColumns({"_lo": F.lit(lo).cast("double"), "_hi": F.lit(hi).cast("double")})
 
 
 def cut_bins(df: DataFrame, value: Column, bins: int, measured: Column) -> DataFrame:
@@ -109,17 +137,19 @@ def evaluation_bundle(df: DataFrame, positive: Column, negative: Column, pos_ali
     def zero(c: Column, name: str) -> Column:
         return F.coalesce(c, F.lit(0.0)).alias(name)
 
-    return df.agg(
-        zero(F.avg(positive), "avg_similarity"),
-        zero(F.percentile(positive, F.lit(0.5)), "median_similarity"),
-        zero(F.stddev_pop(positive), "std_similarity"),
-        zero(F.avg(positive), "clean_similarity"),
-        zero(F.avg(negative), "corrupt_similarity"),
-        zero(F.avg(positive) - F.avg(negative), "similarity_gap"),
-        zero(F.avg(pos_align), "avg_pos_alignment"),
-        zero(F.avg(neg_align), "avg_neg_alignment"),
-        zero(F.avg(pos_align) - F.avg(neg_align), "alignment_gap"),
+    rows = df.select(positive.alias("p"), negative.alias("n"), pos_align.alias("pa"), neg_align.alias("na"))
+    stats = rows.agg(
+        zero(F.avg("p"), "avg_similarity"),
+        zero(F.stddev_pop("p"), "std_similarity"),
+        zero(F.avg("p"), "clean_similarity"),
+        zero(F.avg("n"), "corrupt_similarity"),
+        zero(F.avg("p") - F.avg("n"), "similarity_gap"),
+        zero(F.avg("pa"), "avg_pos_alignment"),
+        zero(F.avg("na"), "avg_neg_alignment"),
+        zero(F.avg("pa") - F.avg("na"), "alignment_gap"),
     )
+    full = with_quantiles(stats, rows, (), "p", {"median_similarity": 0.5})
+    return full.withColumn("median_similarity", F.coalesce("median_similarity", F.lit(0.0)))
 
 
 def long_report(one_row: DataFrame, section: str) -> DataFrame:

@@ -82,7 +82,7 @@ def boundary_rows(
     """Of each key the row at which the running weight, in ``order``, reaches its goal.
 
     ``ranged`` comes from :func:`range_sorted` with the same keys and order;
-    ``goals`` has the keys and ``goal`` (rows, or the sum of ``weight``). Counts
+    ``goals`` has the keys and ``goal`` (rows, or the sum of ``weight``); a key may have several. Counts
     per (partition, key) locate the partition by prefix sums; only that
     partition's rows are ranked. A key whose total is below its goal, or whose
     goal is not positive, has no row. Adds ``_before``, the weight of the rows ahead.
@@ -98,11 +98,52 @@ def boundary_rows(
         .where((F.col("goal") > 0) & (F.col("_upto") >= F.col("goal")) & (F.col("_upto") - F.col("_w") < F.col("goal")))
         .select(*keys, "_part", "goal", (F.col("_upto") - F.col("_w")).alias("_ahead"))
     )
-    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*keys, "_part", "goal").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        ranged.join(F.broadcast(placed) if few or (few is None and small(goals)) else placed, [*keys, "_part"])
+        ranged.join(F.broadcast(placed.distinct()) if few or (few is None and small(goals)) else placed.distinct(), [*keys, "_part"])
         .withColumn("_run", F.col("_ahead") + F.sum(w).over(inside))
         .where((F.col("_run") >= F.col("goal")) & (F.col("_run") - w < F.col("goal")))
         .withColumn("_before", F.col("_run") - w)
-        .drop("_part", "_ahead", "_run", "goal")
+        .drop("_part", "_ahead", "_run")
     )
+
+
+def within_goal(df: DataFrame, keys: Sequence[str], order: Sequence[str], goals: DataFrame, few: bool | None = None) -> DataFrame:
+    """The first ``goal`` rows of each key in ascending ``order`` (columns, the last one unique); keys without goal have none.
+
+    As :func:`boundary_rows`, so a key that holds much of the data needs no single task.
+    """
+    keys = list(keys)
+    few = small(goals) if few is None else few
+    ranged = range_sorted(df, keys, [F.col(c) for c in order])
+    last = boundary_rows(ranged.select(*keys, *order, "_part"), keys, [F.col(c) for c in order], goals, few=few).select(*keys, F.struct(*order).alias("_last"))
+    wanted = goals.where(F.col("goal") > 0).select(*keys).join(last, keys, "left")
+    return (
+        ranged.join(F.broadcast(wanted) if few else wanted, keys)
+        .where(F.col("_last").isNull() | (F.struct(*order) <= F.col("_last")))
+        .select(*df.columns)
+    )
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear between neighbours) of each group, a column for each share; null values are left out.
+
+    Values are range-sorted and only the rows at the wanted ranks are read, so no task holds a group's values.
+    """
+    rows = df.select(*by, F.col(value).alias("_q")).where(F.col("_q").isNotNull())
+    if not by:
+        rows = rows.withColumn("_all", F.lit(0))
+    keys = list(by) or ["_all"]
+    safe = [F.struct(*[F.col(k) for k in keys]).alias("_g")]  # a struct is never null, whatever its fields
+    ranged = range_sorted(rows.select(*safe, "_q"), ["_g"], [F.col("_q")])
+    sizes = cut(ranged.groupBy("_g").agg(F.count("*").alias("_n")), "sizes")
+    places = F.array(*[F.struct(F.lit(n).alias("name"), ((F.col("_n") - 1) * F.lit(s)).alias("at")) for n, s in shares.items()])
+    wanted = sizes.select("_g", F.explode(places).alias("p")).select(
+        "_g", "p.name", (F.col("p.at") - F.floor("p.at")).alias("part"), (F.floor("p.at") + 1).cast("bigint").alias("lo"), (F.ceil("p.at") + 1).cast("bigint").alias("hi")
+    )
+    goals = wanted.select("_g", F.explode(F.array("lo", "hi")).alias("goal")).distinct()
+    found = cut(boundary_rows(ranged, ["_g"], [F.col("_q")], goals).select("_g", "goal", "_q").distinct(), "ranks")
+    low, high = found.select("_g", F.col("goal").alias("lo"), F.col("_q").alias("_l")), found.select("_g", F.col("goal").alias("hi"), F.col("_q").alias("_h"))
+    made = wanted.join(low, ["_g", "lo"]).join(high, ["_g", "hi"]).withColumn("q", F.col("_l") + (F.col("_h") - F.col("_l")) * F.col("part"))
+    out = made.groupBy("_g").agg(*[F.max(F.when(F.col("name") == n, F.col("q"))).alias(n) for n in shares])
+    return out.select(*[F.col(f"_g.{k}").alias(k) for k in by], *shares)

@@ -85,12 +85,11 @@ THEN round((total - succeeded) / (succeeded / ((epoch_us(ts) - begun) / 1e6)), 3
 def eta_seconds(spark, folder):
     """The time left after each call, at the rate of successes so far."""
     c = calls(spark, folder)
-    one = c.agg(F.count_if("ok").alias("total"), F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("begun"))
+    total, begun = c.agg(F.count_if("ok"), F.min(F.unix_micros(F.col("ts").cast("timestamp")))).first()
     ran = od.counters(c.select("call_id", "ts", "ok"), [F.col("ts"), F.col("call_id")], {"succeeded": F.col("ok").cast("int")})
-    spent = (F.unix_micros(F.col("ts").cast("timestamp")) - F.col("begun")) / 1e6
-    return ran.join(F.broadcast(one)).select(
-        "call_id", "succeeded", F.round(od.remaining_seconds(F.col("succeeded"), F.col("total"), spent), 3).alias("eta_seconds")
-    )
+    spent = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(begun)) / 1e6
+    left = od.remaining_seconds(F.col("succeeded"), F.lit(total), spent)
+    return ran.select("call_id", "succeeded", F.round(left, 3).alias("eta_seconds"))
 
 
 @query(f"""SELECT count(*) AS calls, count(*) FILTER (ok) AS ok_calls, CASE WHEN count(*) > 0 THEN round(count(*) FILTER (ok) / count(*) * 100, 6) ELSE 0.0 END AS success_rate,
