@@ -25,6 +25,18 @@ WITH latest AS (
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
+_SAME = "lower(upper(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')))"
+_COPIES = f"""
+WITH u AS (SELECT 'unified' AS t, sample_index AS id, {_SAME.format('text')} AS f FROM unified WHERE text IS NOT NULL),
+j AS (SELECT record_id, key AS k, CASE WHEN value IS NULL THEN '' ELSE json_extract_string(value, '$') END AS v
+      FROM (SELECT * FROM raw_records WHERE json_valid(text)), json_each(text)),
+l AS (SELECT record_id, split_part(line, ':', 1) AS k, CASE WHEN contains(line, ':') THEN substr(line, strpos(line, ':') + 1) ELSE '' END AS v
+      FROM (SELECT record_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line FROM raw_records WHERE NOT json_valid(text)) WHERE trim(line) <> ''),
+r AS (SELECT 'raw_records' AS t, record_id AS id, string_agg(lower(trim(k)) || '=' || coalesce({_SAME.format('v')}, ''), '|' ORDER BY lower(trim(k)), v) AS f
+      FROM (SELECT * FROM j UNION ALL SELECT * FROM l) GROUP BY record_id),
+g AS (SELECT t, id, min(id) OVER (PARTITION BY t, f) AS k FROM (SELECT * FROM u WHERE f <> '' UNION ALL SELECT * FROM r))
+"""
+
 ORACLES: dict[str, str] = {
     "p1_found": _LATEST + "SELECT o.sample_index FROM ok o JOIN cut c USING (model, voice) WHERE o.similarity >= c.cutoff",
     "p1_cutoffs": _LATEST
@@ -55,4 +67,13 @@ ip AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 7), ' ') AS
 dp AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 7), ' ') AS p
        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM doc WHERE len(w) >= 8))
 SELECT DISTINCT item_id, doc_id FROM ip JOIN dp USING (p)""",
+    "p2_found": f"{_COPIES} SELECT t AS table_name, k AS keep_id, id AS copy_id FROM g WHERE id <> k",
+    "p2_counts": f"{_COPIES} SELECT t AS table_name, k AS keep_id, count(*) AS copies FROM g GROUP BY t, k HAVING count(*) > 1",
+    "p4_found": """
+WITH RECURSIVE e AS (
+  SELECT DISTINCT lower(trim(client_id)) AS c, lower(trim(voice)) AS v FROM unified
+  WHERE trim(client_id) <> '' AND trim(voice) <> '' AND lower(trim(voice)) <> 'common_voice'
+), near AS (SELECT DISTINCT a.c AS x, b.c AS y FROM e a JOIN e b USING (v)),
+reach AS (SELECT x, y FROM near UNION SELECT reach.x, near.y FROM reach JOIN near ON reach.y = near.x)
+SELECT min(y) AS client_a, x AS client_b FROM reach GROUP BY x HAVING min(y) <> x""",
 }
