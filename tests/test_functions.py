@@ -126,3 +126,18 @@ def test_schema(spark):
     assert schema.rename_if_present(df, "other", "more").columns[-1] == "more"
     assert schema.tag(df, "source", "x").first()["source"] == "x"
     assert schema.schema_gaps("ab", "bc") == (["a"], ["c"])
+
+
+def test_times_and_audio(spark):
+    from voxloom.config import Settings
+    from voxloom.functions import audio, times
+
+    shown = one(spark, times.display(F.lit(3725.9)), times.display(F.lit(-1.0)), times.display(F.lit(None).cast("double")), times.display(F.lit(100_000)))
+    assert shown == ("1:02:05", None, None, "27:46:40")
+    two = F.array(F.array(F.lit(1.0), F.lit(-1.0)), F.array(F.lit(0.0), F.lit(-1.0)))
+    assert one(spark, audio.mono(two), audio.to_int16(F.array(F.lit(1.5), F.lit(-1.0)))) == ([0.5, -1.0], [32767, -32767])
+    assert one(spark, audio.duration(F.array(F.lit(0.0), F.lit(0.0)), F.lit(4)), audio.duration(F.array(F.lit(0.0)), F.lit(0))) == (0.5, None)
+    assert one(spark, arrays.pad_to(F.array(F.lit(1)), 3), arrays.masked(F.array(F.lit(2), F.lit(3)), F.array(F.lit(1), F.lit(0)))) == ([1, 0, 0], [2, 0])
+    assert one(spark, scoring.softmax(F.array(F.lit(1000.0), F.lit(1000.0)))) == ([0.5, 0.5],)
+    s = Settings.load({"VOXLOOM_THRESHOLD": "0.7", "VOXLOOM_SEED": "7"}, seed=None, batch_size=3)
+    assert (s.threshold, s.seed, s.batch_size) == (0.7, 7, 3)

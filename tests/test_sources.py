@@ -74,3 +74,19 @@ def test_batch_forms_of_streams(spark):
     calls = df.withColumns({"ok": F.lit(True), "input_tokens": F.lit(None).cast("bigint")})
     r = online.call_rates(calls).first()
     assert (r["calls"], r["ok_calls"], r["input_tokens"]) == (3, 3, 0)
+
+
+def test_audio_files(spark, tmp_path):
+    import wave
+
+    from voxloom.sources.audio import load_audio
+
+    with wave.open(str(tmp_path / "a.wav"), "wb") as f:
+        f.setnchannels(2)
+        f.setsampwidth(2)
+        f.setframerate(8000)
+        f.writeframes(b"\x00\x40\x00\x00" * 8)
+    (tmp_path / "b.wav").write_bytes(b"no audio")
+    got = {r["filename"]: r for r in load_audio(spark, str(tmp_path)).collect()}
+    assert len(got["a.wav"]["array"]) == 16 and got["a.wav"]["array"][0] == 0.25 and got["a.wav"]["sampling_rate"] == 16_000
+    assert got["b.wav"]["array"] is None and got["b.wav"]["error"]

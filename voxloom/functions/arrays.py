@@ -41,3 +41,13 @@ def clean_tokens(tokens: Column, scores: Column, mask: Column, special=("<s>", "
     zipped = F.arrays_zip(tokens.alias("token"), scores.alias("score"), mask.alias("mask"))
     kept = F.filter(zipped, lambda x: (x["mask"] == 1) & ~x["token"].isin(*special))
     return F.transform(kept, lambda x: F.struct(x["token"].alias("token"), x["score"].alias("score")))
+
+
+def pad_to(a: Column, n: int, fill=0) -> Column:
+    """The first n elements, filled up to n."""
+    return F.slice(F.concat(a, F.array_repeat(F.lit(fill), n)), 1, n)
+
+
+def masked(a: Column, mask: Column) -> Column:
+    """Element by element the product with a mask."""
+    return F.zip_with(a, mask, lambda x, m: x * m)

@@ -92,3 +92,20 @@ def weighted_pool(vectors: Column, weights: Column, least: float = 1e-9) -> Colu
         F.size(vectors) > 0,
         F.transform(F.aggregate(scaled, start, lambda s, v: F.zip_with(s, v, lambda x, y: x + y)), lambda x: x / total),
     )
+
+
+def mean_pool(vectors: Column, mask: Column) -> Column:
+    """Mean of the vectors where the mask is 1; zeros if none is."""
+    return weighted_pool(vectors, mask)
+
+
+def softmax(logits: Column) -> Column:
+    """Weights that sum to 1; shifted by the largest logit, so nothing overflows."""
+    top = F.array_max(logits).cast("double")
+    powers = F.transform(logits, lambda x: F.exp(x.cast("double") - top))
+    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, y: s + y))
+
+
+def attentive_pool(vectors: Column, logits: Column) -> Column:
+    """The vectors' sum under softmax weights."""
+    return weighted_pool(vectors, softmax(logits))

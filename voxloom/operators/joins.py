@@ -107,3 +107,11 @@ def select_by_index(rows: DataFrame, indices: DataFrame, id_col: str, repeats: b
     """Rows whose id is among the indices; with ``repeats`` once for each time it is."""
     wanted = indices.select(id_col)
     return rows.join(wanted, id_col) if repeats else rows.join(wanted.distinct(), id_col, "left_semi")
+
+
+def generation_plan(texts: DataFrame, files: DataFrame, id_col: str, text: str, voice: str, model: str) -> DataFrame:
+    """(id, filename, status): 'cached' if the file named after the content is there, 'to_generate' if not, 'no_name' without a name."""
+    rows = texts.select(id_col, audio_filename(F.col(text), F.col(voice), F.col(model)).alias("filename"))
+    listing = files.where(F.col("file_size") > 0).select("filename").distinct().withColumn("_there", F.lit(True))
+    status = F.when(F.col("filename").isNull(), "no_name").when(F.col("_there").isNull(), "to_generate").otherwise("cached")
+    return rows.join(listing, "filename", "left").select(id_col, "filename", status.alias("status"))

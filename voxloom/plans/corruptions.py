@@ -109,3 +109,14 @@ def wer_without_python(spark, folder):
     """The same edits from built-in functions."""
     e = _asr_pairs(spark, folder).select(word_edits_expr(F.col("ref"), F.col("hyp")).cast("bigint").alias("edits"))
     return e.agg(F.sum("edits").alias("edits"))
+
+
+@query(f"""SELECT locale, round(sum(edits) FILTER (split = 'train') / sum(words) FILTER (split = 'train'), 6) AS train, round(sum(edits) FILTER (split = 'validation') / sum(words) FILTER (split = 'validation'), 6) AS validation,
+round(sum(edits) FILTER (split = 'test') / sum(words) FILTER (split = 'test'), 6) AS test FROM {_EDITS} JOIN (SELECT sample_index, split FROM unified) USING (sample_index) WHERE edits IS NOT NULL GROUP BY 1""")
+def wer_summary(spark, folder):
+    """Error rates of several systems (locales) on several sets (splits), a column a set."""
+    e = with_word_edits(_asr_pairs(spark, folder), "ref", "hyp").where("edits IS NOT NULL")
+    s = table(spark, folder, "unified").select("sample_index", "split")
+    rate = F.try_divide(F.sum("edits"), F.sum(F.size("ref")))
+    wide = e.join(s, "sample_index").groupBy("locale").pivot("split", ["train", "validation", "test"]).agg(rate)
+    return wide.select("locale", *[F.round(c, 6).alias(c) for c in ("train", "validation", "test")])

@@ -321,3 +321,35 @@ def subset_health(spark, folder):
         F.count("*").alias("total"), F.count_if(F.col("split") == "train").alias("filtered"), F.count_if(blank).alias("blank_texts")
     )
     return report.subset_health(c)
+
+
+@query(f"""SELECT s.audio_id, {_EXPECTED} AS filename, CASE WHEN {_EXPECTED} IS NULL THEN 'no_name' WHEN f.filename IS NULL THEN 'to_generate' ELSE 'cached' END AS status
+FROM synthetic_audio s LEFT JOIN (SELECT DISTINCT filename FROM audio_files WHERE file_size > 0) f ON f.filename = {_EXPECTED}""")
+def generation_plan(spark, folder):
+    """What is there already under the name of its content, and what is still to be made."""
+    return joins.generation_plan(table(spark, folder, "synthetic_audio"), table(spark, folder, "audio_files"), "audio_id", "text", "voice", "model")
+
+
+@query(f"""SELECT subset, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation, count(*) FILTER (split = 'test') AS test, count(*) AS total FROM ({_ALL}) GROUP BY 1""")
+def subset_sizes(spark, folder):
+    """Planned sizes of the subsets, a column a split."""
+    wide = _three(spark, folder).groupBy("subset").pivot("split", ["train", "validation", "test"]).agg(F.count(F.lit(1)))
+    sizes = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("train", "validation", "test")]
+    return wide.select("subset", *sizes).withColumn("total", F.col("train") + F.col("validation") + F.col("test"))
+
+
+@query(f"""SELECT sample_index, text FROM unified WHERE text IS NOT NULL AND sample_index IN (SELECT sample_index FROM {SYNTHETIC})
+EXCEPT ALL SELECT sample_index, text FROM {_BANDED} WHERE band = 'high'""")
+def not_high_quality(spark, folder):
+    """Set difference of the synthetic rows and those of high quality."""
+    s = synthetic(spark, folder).where(F.col("text").isNotNull()).select("sample_index", "text")
+    return s.exceptAll(_banded(spark, folder).where(F.col("band") == "high").select("sample_index", "text"))
+
+
+@query(f"SELECT {sql_key('text')} AS norm_key FROM {SYNTHETIC} WHERE text <> '' INTERSECT SELECT {sql_key('text')} FROM {REAL} WHERE text <> ''")
+def shared_keys(spark, folder):
+    """Keys that synthetic and real texts have in common."""
+    def keys(df):
+        return df.where(F.col("text") != "").select(tx.norm_key(F.col("text")).alias("norm_key"))
+
+    return keys(synthetic(spark, folder)).intersect(keys(real(spark, folder)))

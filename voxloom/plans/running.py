@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import times
 from ..functions.text import seeded
 from ..operators import ordered as od
 from ..operators import report
@@ -135,3 +136,21 @@ def micro_batches(spark, folder):
 def progress_log(spark, folder):
     p = od.global_position(table(spark, folder, "synthetic_audio").select("audio_id"), [F.col("audio_id")])
     return od.every(p, F.col("position"), 50).select("audio_id", (F.col("position") + 1).alias("done"))
+
+
+@query(f"""SELECT call_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp, round((epoch_us(received_at) - epoch_us(ts)) / 1e6, 6) AS latency,
+CASE WHEN received_at >= ts THEN printf('%d:%02d:%02d', CAST(floor((epoch_us(received_at) - epoch_us(ts)) / 1e6) AS BIGINT) // 3600, CAST(floor((epoch_us(received_at) - epoch_us(ts)) / 1e6) AS BIGINT) % 3600 // 60,
+CAST(floor((epoch_us(received_at) - epoch_us(ts)) / 1e6) AS BIGINT) % 60) END AS shown, round((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM {_CALLS})) / 1e6 / 3600, 6) AS hours_in FROM {_CALLS}""")
+def call_times(spark, folder):
+    """Stamps, latencies and hours since the first call."""
+    c = calls(spark, folder)
+    got = table(spark, folder, "api_calls").groupBy("call_id").agg(F.min("received_at").alias("received_at"))
+    begun = c.agg(F.min(times.micros(F.col("ts")))).first()[0]
+    late = times.seconds_between(F.col("ts"), F.col("received_at"))
+    return c.join(got, "call_id").select(
+        "call_id",
+        times.stamp(F.col("ts")).alias("stamp"),
+        F.round(late, 6).alias("latency"),
+        times.display(late).alias("shown"),
+        F.round(times.hours((times.micros(F.col("ts")) - F.lit(begun)) / 1e6), 6).alias("hours_in"),
+    )

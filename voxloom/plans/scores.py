@@ -249,3 +249,32 @@ def cosine_scorer(batch: pd.DataFrame) -> pd.DataFrame:
 def batch_scores(spark, folder):
     s = score_batches(pairs(spark, folder), cosine_scorer, ["embedding", "other"], "vec_id")
     return s.select("vec_id", F.round("similarity", 6).alias("similarity"), "status")
+
+
+@query("""WITH t AS (SELECT label, vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings),
+k AS (SELECT label, min(vec_id) AS first, max(vec_id) AS last FROM embeddings GROUP BY 1)
+SELECT k.label, t.i AS dim, round(avg(CAST(x AS DOUBLE)), 6) AS mean_pooled FROM k JOIN t ON t.vec_id IN (k.first, k.last) GROUP BY 1, 2""")
+def pooled_vectors(spark, folder):
+    """Each label's first and last vector as two tokens of a text, mean-pooled, dimension by dimension."""
+    e = table(spark, folder, "embeddings")
+    ends = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("a"), F.max_by("embedding", "vec_id").alias("b"))
+    pooled = sc.mean_pool(F.array("a", "b"), F.array(F.lit(1), F.lit(1)))
+    return ends.select("label", F.posexplode(pooled).alias("dim", "mean_pooled")).withColumn("mean_pooled", F.round("mean_pooled", 6))
+
+
+@query("""WITH t AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), w AS (SELECT vec_id, x, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS a FROM t)
+SELECT vec_id, round(sum(a * x), 6) AS attended, round(max(a), 6) AS top_weight FROM w GROUP BY 1""")
+def attentive_scores(spark, folder):
+    """Token scores under their own softmax weights."""
+    weights = sc.softmax(F.col("embedding"))
+    return table(spark, folder, "embeddings").select(
+        "vec_id", F.round(sc.dot(weights, F.col("embedding")), 6).alias("attended"), F.round(F.array_max(weights), 6).alias("top_weight")
+    )
+
+
+@query("""SELECT vec_id, position, score FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS position, CAST(unnest(embedding) AS DOUBLE) AS score FROM embeddings)
+WHERE position < 8 + vec_id % 56""")
+def token_scores(spark, folder):
+    """Long form of the unmasked token scores."""
+    e = table(spark, folder, "embeddings").select("vec_id", F.posexplode("embedding").alias("position", "s"))
+    return e.where(F.col("position") < 8 + F.col("vec_id") % 56).select("vec_id", "position", F.col("s").cast("double").alias("score"))
