@@ -32,3 +32,8 @@ def letters_digits(c: Column) -> Column:
 def word_line(c: Column) -> Column:
     """Words (maximal runs of letters and digits, lower case) joined by one blank."""
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+
+
+def once(c: Column) -> Column:
+    """``c`` as the only output of a generator: computed once a row, as filters on it aren't pushed below and copied."""
+    return F.explode(F.array(c))

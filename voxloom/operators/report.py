@@ -159,7 +159,7 @@ def long_report(one_row: DataFrame, section: str) -> DataFrame:
 
 
 def subset_health(counts: DataFrame) -> DataFrame:
-    """Issues of subsets (subset, total, filtered, text_fields, rates): which rules each breaks."""
+    """``counts`` (subset, total, filtered, blank_texts) with ``issues``: the rules that each subset breaks, '' for none."""
     rules = [
         F.when(F.col("total") == 0, "empty"),
         F.when(F.col("filtered") < F.col("total") * 0.5, "filtered below half of total"),
