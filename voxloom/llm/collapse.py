@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import letters_digits
+from ..functions.keys import letters_digits, once
 from ..operators.spread import hot_limit, spread_join
 from ..storage import cut
 
 
 def text_fields(text: str) -> Column:
-    """A record whose only field is ``text``; null without any letter or digit."""
-    value = letters_digits(F.col(text))
-    return F.when(value != "", F.array(F.struct(F.lit("text").alias("name"), value.alias("value"))))
+    """A record whose only field is ``text``; none for null and without any letter or digit."""
+    value = letters_digits(F.coalesce(F.col(text), F.lit("")))
+    return F.filter(F.array(F.struct(F.lit("text").alias("name"), value.alias("value"))), lambda x: x["value"] != "")
 
 
 def record_fields(text: str) -> Column:
@@ -22,7 +22,7 @@ def record_fields(text: str) -> Column:
     The value is what follows the first colon; a line without one is a field without
     value. Names are compared in lower case without outer blanks, values by letters and
     digits. A JSON null is a field without value, which differs from no field. What
-    can't be read as JSON is read as lines; a text without any field gives null.
+    can't be read as JSON is read as lines; a null text has no fields.
     """
     raw = F.col(text)
     parsed = F.map_entries(F.from_json(raw, "map<string,string>"))
@@ -34,14 +34,13 @@ def record_fields(text: str) -> Column:
         ),
     )
     fields = F.when(F.ltrim(raw).startswith("{") & parsed.isNotNull(), parsed).otherwise(lines)
-    clean = F.transform(
-        fields,
+    return F.transform(
+        F.coalesce(fields, F.array().cast("array<struct<key:string,value:string>>")),
         lambda x: F.struct(
             F.lower(F.regexp_replace(x["key"], r"(?U)^\s+|\s+$", "")).alias("name"),
             letters_digits(F.coalesce(x["value"], F.lit(""))).alias("value"),
         ),
     )
-    return F.when(F.size(clean) > 0, clean)
 
 
 def _hash_sum(fields: Column, seed: str, shift: int) -> Column:
@@ -57,19 +56,20 @@ def _hash_sum(fields: Column, seed: str, shift: int) -> Column:
 def _fingerprint(fields: Column) -> list[Column]:
     """Two numbers from sums over the multiset of fields: any order gives the same."""
     return [
-        F.shiftleft(_hash_sum(fields, seed, 0), 31).bitwiseXOR(_hash_sum(fields, seed, 32)).alias(name)
+        # not nullable, so that a join needs no filter that would compute it again
+        F.coalesce(F.shiftleft(_hash_sum(fields, seed, 0), 31).bitwiseXOR(_hash_sum(fields, seed, 32)), F.lit(0)).alias(name)
         for seed, name in (("a", "_f1"), ("b", "_f2"))
     ]
 
 
 def _counted(fields: Column) -> Column:
     """Distinct (name, value, times); as sets these are equal if the multisets are."""
-    once = F.array_distinct(fields)
+    distinct = F.array_distinct(fields)
     return F.when(
-        F.size(once) == F.size(fields), F.transform(fields, lambda x: F.struct(x["name"], x["value"], F.lit(1).alias("times")))
+        F.size(distinct) == F.size(fields), F.transform(fields, lambda x: F.struct(x["name"], x["value"], F.lit(1).alias("times")))
     ).otherwise(
         F.transform(
-            once, lambda x: F.struct(x["name"], x["value"], F.size(F.filter(fields, lambda y: y == x)).alias("times"))
+            distinct, lambda x: F.struct(x["name"], x["value"], F.size(F.filter(fields, lambda y: y == x)).alias("times"))
         )
     )
 
@@ -77,7 +77,7 @@ def _counted(fields: Column) -> Column:
 def collapse_copies(rows: DataFrame, id_col: str, fields: Column) -> DataFrame:
     """Every record that has copies, as (keep_id, copy_id); keep_id is the smallest id of its group.
 
-    ``fields`` gives array<struct<name, value>>; null fields or ids are left out. Field
+    ``fields`` gives array<struct<name, value>>; records without fields or id are left out. Field
     pairs are hashed, hashes combined by commutative sums, records grouped by this
     fingerprint, and each copy's fields compared with those of the kept record as
     multisets, without sorting. Records whose fields differ in spite of equal
@@ -85,9 +85,8 @@ def collapse_copies(rows: DataFrame, id_col: str, fields: Column) -> DataFrame:
     partial aggregates, and large groups are joined in slices. An id that occurs
     several times counts as one record (of its rows, all that match are its copies once).
     """
-    base = rows.select(F.col(id_col).alias("_id"), fields.alias("_fields")).where(
-        F.col("_id").isNotNull() & F.col("_fields").isNotNull()
-    )
+    base = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), once(fields).alias("_fields"))
+    base = base.where(F.size("_fields") > 0)
     printed = base.select("_id", "_fields", *_fingerprint(F.col("_fields")))
     key = ["_f1", "_f2"]
     groups = cut(
