@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import word_line
+from ..functions.keys import once, word_line
 from ..operators.spread import hot_limit, spread_join
 from ..storage import cut
 
@@ -248,10 +248,11 @@ class Overlaps:
         train: str = "train",
         evaluation: tuple[str, ...] = ("validation", "test"),
     ) -> None:
-        base = rows.select(
-            F.col(id_col).alias("_id"), F.col(split).alias("split"), word_line(F.col(text)).alias("_line")
-        ).where(F.col("split").isin(train, *evaluation) & (F.col("_line") != "") & F.col("_id").isNotNull())
-        printed = base.withColumn("_print", F.unhex(F.md5("_line")))
+        base = rows.where(F.col(split).isin(train, *evaluation) & F.col(id_col).isNotNull()).select(
+            F.col(id_col).alias("_id"), F.col(split).alias("split"), once(word_line(F.col(text))).alias("_line")
+        )
+        digest = F.coalesce(F.unhex(F.md5("_line")), F.lit(b""))  # not nullable: a join needs no filter on it
+        printed = base.where(F.col("_line") != "").withColumn("_print", digest)
         is_train = F.col("split") == train
         self.classes = cut(
             printed.groupBy("_print").agg(
