@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from ..functions.keys import once
 from ..functions.text import seeded, word_array
 
 # Common Dutch words that fill or replace (a parameter for other languages).
@@ -15,62 +16,68 @@ FILLERS = (
 STRATEGIES = ("replace", "shuffle", "drop", "insert", "half")
 
 
-def corruption(text: Column, row: Column, strategy: Column | None = None, fillers=tuple(FILLERS), seed: int = 42) -> Column:
-    """Struct (strategy, corrupted, correctness) of a text; every text is corrupted.
+def with_corruption(
+    df: DataFrame, text: str, id_col: str, strategy: str | None = None, fillers=tuple(FILLERS), seed: int = 42
+) -> DataFrame:
+    """``df`` with columns strategy, corrupted, correctness; every text is corrupted.
 
     replace: one word becomes a filler, (n-1)/n even if it is the same word. shuffle: a segment of
     three or more words is put in another order, correctness is the share of words still in
     place; two words stay as they are, 1.0. drop word k: k/n. insert before k: k/(n+1). half: the
     first or last half (the larger one last), 0.5. A text of at most one word gets a filler
     appended, 0.5 (strategy 'append'). Null gives null. ``strategy`` fixes the
-    choice; else it is drawn evenly by the hash of ``row`` and seed, as are positions and fillers.
+    choice; else it is drawn evenly by the hash of the id and seed, as are positions and fillers.
+
+    Words, then draws, then the shuffled words are computed once a row, each behind a generator.
     """
-    w = word_array(text)
-    n = F.size(w)
-    fill = F.array(*[F.lit(x) for x in fillers])
+    row = F.col(id_col)
 
     def draw(what: str, below: Column) -> Column:
         return F.pmod(seeded(row, F.lit(what), seed=seed), F.greatest(below, F.lit(1))).cast("int")
 
-    word = F.element_at(fill, draw("word", F.lit(len(fillers))) + 1)
-    at = draw("at", n)
-    put = draw("at", n + 1)
+    w, n = F.col("_w"), F.size("_w")
+    split = df.withColumn("_w", once(word_array(F.col(text))))
+    chosen = F.lit(strategy) if strategy else F.element_at(
+        F.array(*[F.lit(s) for s in STRATEGIES]), draw("strategy", F.lit(len(STRATEGIES))) + 1
+    )
     begin = draw("begin", n - 2)
-    length = F.lit(3) + draw("length", n - begin - 2)
-    segment = F.slice(w, begin + 1, F.least(length, n - begin))
+    draws = F.struct(
+        F.when(F.col(text).isNull(), F.lit(None)).when(n <= 1, "append").otherwise(chosen).alias("strategy"),
+        F.element_at(F.array(*[F.lit(x) for x in fillers]), draw("word", F.lit(len(fillers))) + 1).alias("word"),
+        draw("at", n).alias("at"),
+        draw("at", n + 1).alias("put"),
+        draw("half", F.lit(2)).alias("half"),
+        begin.alias("begin"),
+        F.least(F.lit(3) + draw("length", n - begin - 2), n - begin).alias("length"),
+    )
+    drawn = split.withColumn("_d", once(draws))
+    name, word, at, put = (F.col(f"_d.{c}") for c in ("strategy", "word", "at", "put"))
+    segment = F.slice(w, F.col("_d.begin") + 1, F.col("_d.length"))
     keyed = F.transform(segment, lambda x, i: F.struct(seeded(row, F.lit("order"), i, seed=seed).alias("k"), i.alias("i"), x.alias("x")))
     shuffled = F.concat(
-        arrays.head(w, begin), F.transform(F.array_sort(keyed), lambda s: s["x"]), arrays.tail(w, begin + F.size(segment))
+        arrays.head(w, F.col("_d.begin")),
+        F.transform(F.array_sort(keyed), lambda s: s["x"]),
+        arrays.tail(w, F.col("_d.begin") + F.col("_d.length")),
     )
     half = F.floor(n / 2).cast("int")
-    halves = F.when(draw("half", F.lit(2)) == 0, arrays.head(w, half)).otherwise(arrays.tail(w, half))
-    chosen = strategy if strategy is not None else F.element_at(
-        F.array(*[F.lit(s) for s in STRATEGIES]), draw("strategy", F.lit(len(STRATEGIES))) + 1
+    words = (
+        F.when(name == "append", F.concat(w, F.array(word)))
+        .when(name == "replace", arrays.replace_at(w, at, word))
+        .when(name == "shuffle", F.when(n <= 2, w).otherwise(shuffled))
+        .when(name == "drop", arrays.remove_at(w, at))
+        .when(name == "insert", arrays.insert_at(w, put, word))
+        .when((name == "half") & (F.col("_d.half") == 0), arrays.head(w, half))
+        .when(name == "half", arrays.tail(w, half))
     )
+    made = drawn.withColumn("_v", once(words))
     size = n.cast("double")
-
-    def made(name, words: Column, correct: Column) -> Column:
-        return F.struct(
-            (F.lit(name) if isinstance(name, str) else name).alias("strategy"),
-            F.array_join(words, " ").alias("corrupted"),
-            correct.cast("double").alias("correctness"),
-        )
-
-    return (
-        F.when(text.isNull(), F.lit(None))
-        .when(n <= 1, made("append", F.concat(w, F.array(word)), F.lit(0.5)))
-        .when(chosen == "replace", made("replace", arrays.replace_at(w, at, word), (size - 1) / size))
-        .when((chosen == "shuffle") & (n <= 2), made("shuffle", w, F.lit(1.0)))
-        .when(chosen == "shuffle", made("shuffle", shuffled, arrays.share_in_place(w, shuffled)))
-        .when(chosen == "drop", made("drop", arrays.remove_at(w, at), at / size))
-        .when(chosen == "insert", made("insert", arrays.insert_at(w, put, word), put / (size + 1)))
-        .otherwise(made("half", halves, F.lit(0.5)))
+    correct = (
+        F.when(name.isin("append", "half"), F.lit(0.5))
+        .when(name == "replace", (size - 1) / size)
+        .when(name == "shuffle", arrays.share_in_place(w, F.col("_v")))
+        .when(name == "drop", at / size)
+        .when(name == "insert", put / (size + 1))
     )
-
-
-def with_corruption(df: DataFrame, text: str, id_col: str, strategy: str | None = None, **options) -> DataFrame:
-    """``df`` with columns strategy, corrupted, correctness."""
-    drawn = df.withColumn(
-        "_c", corruption(F.col(text), F.col(id_col), F.lit(strategy) if strategy else None, **options)
+    return made.select(
+        *df.columns, name.alias("strategy"), F.array_join("_v", " ").alias("corrupted"), correct.cast("double").alias("correctness")
     )
-    return drawn.select(*df.columns, "_c.strategy", "_c.corrupted", "_c.correctness")
