@@ -16,8 +16,7 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in [-1, 1]; null for a zero vector, nulls or different lengths."""
-    scale = norm(a) * norm(b)
-    return F.when((F.size(a) == F.size(b)) & (scale > 0), dot(a, b) / scale)
+    return F.when(F.size(a) == F.size(b), F.try_divide(dot(a, b), norm(a) * norm(b)))
 
 
 def unit_scale(cos: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import once
 from ..functions.scoring import band, nan_to_null
 from .spread import quantiles
 
@@ -54,7 +55,7 @@ def band_distribution(df: DataFrame, score: Column, inclusive_high: bool = False
 
 def filter_statistics(df: DataFrame, score: Column, threshold: float = 0.8) -> DataFrame:
     """What filtering by ``score >= threshold`` keeps, with the scores' statistics and bands; the median is exact and range-sorted."""
-    rows = df.select(nan_to_null(score.cast("double")).alias("s"))
+    rows = df.select(once(score.cast("double")).alias("_s")).select(nan_to_null(F.col("_s")).alias("s"))
     s = F.col("s")
     kept = F.count_if(s >= threshold)
     b = band(s, inclusive_high=True)

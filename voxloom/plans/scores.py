@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import losses
 from ..functions import scoring as sc
+from ..functions.keys import once
 from ..operators import report
 from ..operators.scorer import filter_by_score, score_batches, verify
 from .registry import query, table
@@ -46,13 +47,13 @@ def quality_filter_stats(spark, folder):
 
 @query(f"SELECT vec_id, round(1 / (1 + exp(-cos / 0.1)), 6) AS score FROM {PAIRS} WHERE 1 / (1 + exp(-cos / 0.1)) >= 0.8")
 def threshold_filter(spark, folder):
-    return filter_by_score(pairs(spark, folder).select("vec_id", prob().alias("score")), F.col("score")).withColumn("score", F.round("score", 6))
+    return filter_by_score(pairs(spark, folder).select("vec_id", once(prob()).alias("score")), F.col("score")).withColumn("score", F.round("score", 6))
 
 
 @query(f"""SELECT vec_id, round(cos, 6) AS cos, round((cos + 1) / 2, 6) AS unit, round(1 / (1 + exp(-cos / 0.1)), 6) AS prob,
 round(least(greatest((0.1 * ln((1 / (1 + exp(-cos / 0.1))) / (1 - 1 / (1 + exp(-cos / 0.1)))) + 1) / 2, 0), 1), 6) AS back FROM {PAIRS}""")
 def score_scales(spark, folder):
-    p = pairs(spark, folder).select("vec_id", sc.cosine(F.col("embedding"), F.col("other")).alias("c"))
+    p = pairs(spark, folder).select("vec_id", once(sc.cosine(F.col("embedding"), F.col("other"))).alias("c"))
     q = sc.probability(F.col("c"))
     return p.select(
         "vec_id", F.round("c", 6).alias("cos"), F.round(sc.unit_scale(F.col("c")), 6).alias("unit"), F.round(q, 6).alias("prob"),
@@ -206,7 +207,8 @@ _TRIPLES = f"""(SELECT a.vec_id, a.label, {COS} AS pos, {COS.replace('b.', 'c.')
 
 def _scored_triples(spark, folder):
     n = negatives(spark, folder)
-    return n.select("vec_id", "label", sc.cosine(F.col("embedding"), F.col("other")).alias("pos"), sc.cosine(F.col("embedding"), F.col("third")).alias("neg"))
+    both = F.struct(sc.cosine(F.col("embedding"), F.col("other")).alias("pos"), sc.cosine(F.col("embedding"), F.col("third")).alias("neg"))
+    return n.select("vec_id", "label", once(both).alias("c")).select("vec_id", "label", "c.pos", "c.neg")
 
 
 @query(f"SELECT label, round(avg(ln(1 + exp((neg - pos) / 0.1))), 6) AS loss FROM {_TRIPLES} GROUP BY 1")
