@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -318,3 +319,29 @@ def test_stretches():
     assert language.stretches(bits(0, 1, 1)) == [(0, 3, 1)]
     assert language.stretches(bits(2)) == [(0, 1, 2)]
     assert language.stretches(bits(0, 0, 1, 1, 1, 0, 0)) == [(0, 2, 0), (2, 5, 1), (5, 7, 0)]
+
+
+def pieces(text):
+    return [text[a:b] for a, b, _ in language.units_of(text)]
+
+
+def test_short_sentences_are_units():
+    assert pieces("Vem cá. Não sei! Onde estás agora?") == ["Vem cá.", "Não sei!", "Onde estás agora?"]
+    assert pieces("# Kop v1.2\n\nopen de deur\nsluit het raam\nwacht op mij\n") == ["# Kop v1.2\n\nopen de deur", "sluit het raam", "wacht op mij"]
+    loose = textwrap.wrap(" ".join(["der alte mann ging mit dem hund zum markt und kaufte dort kein brot"] * 3), 16)
+    assert len(pieces("\n".join(loose))) > 4 and all(len(x.split()) >= language.LEAST_WORDS for x in pieces("\n".join(loose)))
+    # quoted phrases, headings and pieces of sentences belong to a neighbour
+    assert pieces('Ik kom morgen. "push to talk" Ga maar zitten.') == ["Ik kom morgen.", '"push to talk" Ga maar zitten.']
+    assert pieces("Zij las een heel oude brief, ... Toen niets. Nee.") == ["Zij las een heel oude brief, ... Toen niets.", "Nee."]
+    assert pieces("Dr. Jansen belt. Hij las, ... Toen niets. Nee.") == ["Dr. Jansen belt.", "Hij las, ... Toen niets.", "Nee."]
+
+
+@pytest.mark.parametrize("width", [16, 30, 60])
+def test_wrapped_lines_are_joined(width):
+    whole = ["The old man went to the market with his dog and Anna.", "He bought nothing.", "Der Hund lief mit dem Kind über die Straße nach Hause.", "Es regnete den ganzen Tag."]
+    for indent in ("", "  "):
+        text = "\n".join(indent + x for x in textwrap.wrap(" ".join(whole), width))
+        assert [" ".join(x.split()) for x in pieces(text)] == whole
+        assert [" ".join(x.split()) for x in pieces(text.replace("\n", " \r\n"))] == whole
+    apart = "\n\n".join(f"- {x}" for x in whole)
+    assert [x.lstrip("- ") for x in pieces(apart)] == whole

@@ -25,13 +25,26 @@ CLEANINGS = 1
 CHANGE_BITS = 100.0
 #: The odds of a language are 2 ** (bits / this), as words of a sentence aren't independent.
 TEMPER_BITS = 8.0
-#: Words that make a unit of text a sentence of its own; shorter ones belong to a neighbour.
+#: Words that make a piece of text a sentence of its own even without a sentence end.
 LEAST_WORDS = 6
+#: Lines without sentence end, all as long as the width allows, that make a text wrapped rather than a list.
+WRAPPED_LINES = 5
 #: Scored words that a worker remembers.
 MEMORY = 400_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|[\r\n]+")
+PIECE_END = re.compile(r"[.!?…][\"'»”’)\]]*\s*$", re.M)
+DOTS = re.compile(r"(?:\.\.|…)[\"'»”’)\]]*\s*$")
+LINE_END = re.compile(r"\r\n|\r|\n")
+LINE = re.compile(r"[^\s](?:[^\r\n]*[^\s])?")
+#: What begins a line of its own: list marks, times, headings, speakers.
+MARK = re.compile(r"[-*•#>\[]|\d+[.):]|[^\W\d_a-zß-ÿ]\w*:\s")
+#: A quoted phrase; it and a heading are no sentences.
+PHRASE = re.compile(r"\s*[\"“”«„'‘][^.!?…]*[\"”“»'’]\s*$")
+HEADING = re.compile(r"\s*#")
+#: Abbreviations that stand before a word of the same sentence.
+ABBREVIATIONS = frozenset("dr dra mr mrs ms sr sra srta prof st jr nr mme mlle dhr mevr drs bzw ca bijv vgl evtl pág núm".split())
 
 
 class ContextTrees:
@@ -115,31 +128,105 @@ class ContextTrees:
         return total + np.float32(8.0 * flat)
 
 
+def joined_lines(text: str) -> tuple[set[int], int]:
+    """(Ends of the lines that go on in the next one, words that make a line without sentence end a unit; 0 for none).
+
+    In a text with sentence ends a line without one goes on in the next line of its paragraph if that begins in lower
+    case (in a text with capitals) or its first word wouldn't have fitted in the paragraph's width. In a text whose lines
+    mostly have no sentence end each line is a sentence; where such lines look wrapped, LEAST_WORDS words of them are a unit.
+    """
+    inner: set[int] = set()
+    lines = open_lines = full = followed = lower = 0
+    cased = text.lower() != text
+    ended = PIECE_END.search(text) is not None
+    spans = [m.span() for m in LINE.finditer(text)]
+    first = 0
+    while first < len(spans):
+        last = first + 1
+        while last < len(spans) and len(LINE_END.findall(text, spans[last - 1][1], spans[last][0])) < 2:
+            last += 1
+        width = max(b - a for a, b in spans[first:last])
+        for k in range(first, last):
+            a, b = spans[k]
+            line = text[a:b]
+            if line.startswith("#") or not LETTERS.search(line):
+                continue
+            lines += 1
+            if PIECE_END.search(line):
+                continue
+            open_lines += 1
+            lower += line[0].islower()
+            if k + 1 == last or MARK.match(text, spans[k + 1][0]):
+                continue
+            following = text[slice(*spans[k + 1])]
+            wrapped = b - a + 1 + len(following.split(None, 1)[0]) > width
+            full += wrapped
+            followed += 1
+            if ended and (wrapped or (cased and following[0].islower())):
+                inner.add(b)
+        first = last
+    if 2 * (open_lines - len(inner)) <= lines - len(inner):
+        return inner, 0
+    wrapped = full == followed >= WRAPPED_LINES and (lower > 0 if cased else True)
+    return inner, LEAST_WORDS if wrapped else 1
+
+
+def line_end(text: str, at: int) -> int:
+    """Where the line ends without its last blanks."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def whole_sentence(piece: str, words: list[str]) -> bool:
+    """Whether a piece of few words ends as a sentence does: not at an abbreviation, an initial or dots within a sentence."""
+    if not PIECE_END.search(piece) or DOTS.search(piece):
+        return False
+    return not (piece.rstrip().endswith(".") and (len(words[-1]) == 1 or words[-1] in ABBREVIATIONS))
+
+
 def units_of(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of the sentences; units of fewer than LEAST_WORDS words join a neighbour."""
+    """(start, end, words) of the sentences; wrapped lines are joined, and quoted phrases and fragments join a neighbour.
+
+    A piece of LEAST_WORDS words or more is a sentence also without a sentence end; of fewer words only with one, or as
+    a line of a text whose lines have none. The words of a quoted phrase tell nothing of the stretch around it: they are
+    left out unless there are no others.
+    """
     out: list[tuple[int, int, list[str]]] = []
     begin = 0
     held: list[str] = []
+    phrases: list[str] = []
     held_at = -1
-    ends = [(m.start(), m.end()) for m in SENTENCE_END.finditer(text)]
+    dots = False
+    inner, least = joined_lines(text) if LINE_END.search(text) else (set(), 0)
+    ends = [(m.start(), m.end()) for m in SENTENCE_END.finditer(text) if not inner or line_end(text, m.start()) not in inner]
     ends.append((len(text), len(text)))
     for end, after in ends:
-        found = LETTERS.findall(text[begin:end].lower())
+        piece = text[begin:end]
+        found = LETTERS.findall(piece.lower())
         if found:
-            if len(found) < LEAST_WORDS:
-                if held_at < 0:
-                    held_at = begin
-                held += found
-            else:
+            line = least and len(held) + len(found) >= least and (after == len(text) or LINE_END.search(text, end, after))
+            if dots and held_at < 0 and len(found) < LEAST_WORDS:  # the rest of the sentence before
+                first, _, had = out[-1]
+                out[-1] = (first, end, had + found)
+            elif len(found) >= LEAST_WORDS or whole_sentence(piece, found) or (line and not PHRASE.match(piece) and not HEADING.match(piece)):
                 out.append((held_at if held_at >= 0 else begin, end, held + found))
                 held, held_at = [], -1
+            else:
+                if held_at < 0:
+                    held_at = begin
+                if PHRASE.match(piece):
+                    phrases += found
+                else:
+                    held += found
+            dots = DOTS.search(piece) is not None
         begin = after
-    if held:
+    if held_at >= 0:
         if out:
             first, _, had = out[-1]
             out[-1] = (first, len(text), had + held)
         else:
-            out.append((held_at, len(text), held))
+            out.append((held_at, len(text), held or phrases))
     return out
 
 
