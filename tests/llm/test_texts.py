@@ -345,3 +345,42 @@ def test_wrapped_lines_are_joined(width):
         assert [" ".join(x.split()) for x in pieces(text.replace("\n", " \r\n"))] == whole
     apart = "\n\n".join(f"- {x}" for x in whole)
     assert [x.lstrip("- ") for x in pieces(apart)] == whole
+
+
+NEAR = {
+    "es": "el vecino callado abrió la ventana por la noche|ella no tiene mucho tiempo para hablar con ellos|los niños jugaron ayer en el jardín de la escuela|hoy hace muy buen tiempo y quiero salir a pasear|¿dónde están las llaves de mi coche nuevo?|nosotros fuimos juntos al cine después de comer",
+    "pt": "o vizinho calado abriu a janela durante a noite|ela não tem muito tempo para falar com eles|as crianças brincaram ontem no jardim da escola|hoje faz muito bom tempo e quero sair a passear|onde estão as chaves do meu carro novo?|nós fomos juntos ao cinema depois de comer",
+}
+
+
+def near_sentences(lang):
+    return [x[0].upper() + x[1:] + ("" if x.endswith("?") else ".") for x in NEAR[lang].split("|")]
+
+
+def test_two_short_sentences_of_a_near_language():
+    es, pt = near_sentences("es"), near_sentences("pt")
+    trees = language.fit([(lang, " ".join(near_sentences(lang))) for lang in NEAR for _ in range(5)])
+
+    def found(text):
+        units = language.units_of(text)
+        return [(trees.languages[k], text[units[a][0] : units[b - 1][1]]) for a, b, k in language.stretches(next(language.Scorer(trees).units([units])))]
+
+    two = "Hoje não quero. Onde estão as crianças?"
+    assert found(" ".join([*es[:4], two, *es[2:]])) == [("es", " ".join(es[:4])), ("pt", two), ("es", " ".join(es[2:]))]
+    assert found(" ".join([*es, two])) == [("es", " ".join(es)), ("pt", two)]
+    wrapped = textwrap.fill(" ".join([*es[:4], *pt[1:3], *es[3:]]), 24)
+    assert [x for x, _ in found(wrapped)] == ["es", "pt", "es"]
+    assert [x for x, _ in found("\n".join(["el vecino callado", "por la noche", "no tiene tiempo", "o vizinho calado", "ela não tem muito tempo", "abriu a janela"]))] == ["es", "pt"]
+    # one sentence, or a phrase, isn't a stretch; nor is a text of one language ever divided
+    assert [x for x, _ in found(" ".join([*es[:4], pt[0], *es[2:]]))] == ["es"]
+    assert [x for x, _ in found(" ".join(es * 40))] == ["es"]
+
+
+def test_stretches_of_40_bits_a_sentence():
+    def bits(*langs):
+        return np.array([[0.0 if k == x else 40.0 for k in range(3)] for x in langs])
+
+    assert language.stretches(bits(0, 0, 1, 1)) == [(0, 2, 0), (2, 4, 1)]
+    assert language.stretches(bits(0, 0, 1, 0, 0)) == [(0, 5, 0)]
+    assert language.stretches(bits(0, 0, 1, 1, 1, 0, 0)) == [(0, 2, 0), (2, 5, 1), (5, 7, 0)]
+    assert language.stretches(bits(0, 0, 0, 1, 1, 0, 0, 0)) == [(0, 3, 0), (3, 5, 1), (5, 8, 0)]

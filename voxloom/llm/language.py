@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,10 +20,8 @@ from .labels import LANGUAGES, language_of_label
 ORDER = 4
 #: The labelled sample the model is fitted on: documents of each language, and their longest text in characters.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 200, 8_000
-#: Rounds in which sample sentences that fit another language better than their label are left out.
+#: Rounds in which sample documents and sentences that fit another language better than their label are left out.
 CLEANINGS = 1
-#: Bits that a change of language within a document costs.
-CHANGE_BITS = 100.0
 #: The odds of a language are 2 ** (bits / this), as words of a sentence aren't independent.
 TEMPER_BITS = 8.0
 #: Words that make a piece of text a sentence of its own even without a sentence end.
@@ -230,6 +229,11 @@ def units_of(text: str) -> list[tuple[int, int, list[str]]]:
     return out
 
 
+def change_bits(units: int, languages: int) -> float:
+    """Bits that a change of language costs: those that tell its place in the document and the new language."""
+    return math.log2(max(units - 1, 1)) + math.log2(max(languages - 1, 1))
+
+
 def stretches(bits: np.ndarray) -> list[tuple[int, int, int]]:
     """(first unit, last unit + 1, language) of the cheapest division into stretches of two units at least.
 
@@ -240,9 +244,10 @@ def stretches(bits: np.ndarray) -> list[tuple[int, int, int]]:
     whole = int(bits.sum(axis=0).argmin())
     if count < 4 or width < 2:  # two stretches need four units
         return [(0, count, whole)]
+    cost = change_bits(count, width)
     gain = bits[:, whole : whole + 1] - bits
     total = np.concatenate((np.zeros((1, width)), np.cumsum(gain, axis=0)))
-    if (total[2:] - np.minimum.accumulate(total[:-2], axis=0)).max() <= CHANGE_BITS:
+    if (total[2:] - np.minimum.accumulate(total[:-2], axis=0)).max() <= cost:
         return [(0, count, whole)]
     # new[t][l]: units up to t, the last stretch having one unit so far; old: two or more
     new, old = np.full((count, width), np.inf), np.full((count, width), np.inf)
@@ -250,7 +255,7 @@ def stretches(bits: np.ndarray) -> list[tuple[int, int, int]]:
     new[0] = bits[0]
     for t in range(1, count):
         best = int(old[t - 1].argmin())
-        new[t] = old[t - 1][best] + CHANGE_BITS + bits[t]
+        new[t] = old[t - 1][best] + cost + bits[t]
         new_from[t] = best
         longer = old[t - 1] < new[t - 1]
         old[t] = np.where(longer, old[t - 1], new[t - 1]) + bits[t]
@@ -319,22 +324,38 @@ class Scorer:
                 at += len(units)
 
 
+def plain(word: str) -> str:
+    """The word without accents."""
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
 def fit(rows: list[tuple[str, str]]) -> ContextTrees | None:
-    """Trees from (language, text); sentences nearer to another language than their label are left out in turns."""
-    sentences = [(lang, ws) for lang, text in rows for _, _, ws in units_of(text)]
-    kept, trees = sentences, None
+    """Trees from (language, text), words also without their accents.
+
+    Documents, and sentences, nearer to another language than their label are left out in turns.
+    """
+    documents = [(lang, [ws for _, _, ws in units_of(text)]) for lang, text in rows]
+    kept, trees = [(lang, ws) for lang, sentences in documents for ws in sentences], None
     for turn in range(CLEANINGS + 1):
         counts: dict[str, Counter] = {}
         for lang, ws in kept:
             counts.setdefault(lang, Counter()).update(ws)
         if not counts:
             return None
+        for words in counts.values():
+            for word, times in list(words.items()):
+                if (bare := plain(word)) != word:
+                    words[bare] += times
         trees = ContextTrees(counts)
         if turn < CLEANINGS:
-            scorer = Scorer(trees)
-            kept = [
-                (lang, ws) for lang, ws in sentences if lang in trees.languages and trees.languages[int(scorer.bits(ws).sum(axis=0).argmin())] == lang
-            ]
+            scorer, kept = Scorer(trees), []
+            for lang, sentences in documents:
+                if lang not in trees.languages or not sentences:
+                    continue
+                own = trees.languages.index(lang)
+                bits = [scorer.bits(ws).sum(axis=0) for ws in sentences]
+                if int(np.sum(bits, axis=0).argmin()) == own:
+                    kept += [(lang, ws) for ws, x in zip(sentences, bits, strict=True) if int(x.argmin()) == own]
     return trees
 
 
