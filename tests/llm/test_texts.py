@@ -384,3 +384,17 @@ def test_stretches_of_40_bits_a_sentence():
     assert language.stretches(bits(0, 0, 1, 0, 0)) == [(0, 5, 0)]
     assert language.stretches(bits(0, 0, 1, 1, 1, 0, 0)) == [(0, 2, 0), (2, 5, 1), (5, 7, 0)]
     assert language.stretches(bits(0, 0, 0, 1, 1, 0, 0, 0)) == [(0, 3, 0), (3, 5, 1), (5, 8, 0)]
+
+
+def test_long_labelled_documents_are_sampled(spark):
+    """A language whose labelled documents are all long is in the model, of each of them an excerpt."""
+    long = {lang: ["1 " * 5000 + " ".join(sentences(lang, 300, 7 * k + i)) for i in range(5)] for k, lang in enumerate(LINES)}
+    docs = [(10 * k + i, t, lang) for k, lang in enumerate(LINES) for i, t in enumerate(long[lang] if lang == "de" else sentences(lang, 5, k))]
+    df = spark.createDataFrame([*docs, (100, " ".join(sentences("de", 2, 99)), "en")], "doc_id int, text string, lang string")
+    with pytest.warns(UserWarning, match="no labelled sample of .*pt"):
+        found = language.language_stretches(df)
+    assert {r["doc_id"]: r["lang"] for r in found.collect()} == {**{i: lang for i, _, lang in docs}, 100: "de"}
+    only = df.where("length(text) > 8000")
+    assert {r["doc_id"]: r["lang"] for r in language.language_stretches(only).collect()} == {i: lang for i, t, lang in docs if len(t) > 8000}
+    assert all(len(language.excerpt(t[10000:])) <= language.SAMPLE_CHARS and language.excerpt(t[10000:]).endswith(".") for t in long["de"])
+    assert len(language.excerpt("word " * 3000)) == language.SAMPLE_CHARS and len(language.excerpt("x" * 9000)) == language.SAMPLE_CHARS

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ from .labels import LANGUAGES, language_of_label
 
 #: Longest context in bytes.
 ORDER = 4
-#: The labelled sample the model is fitted on: documents of each language, and their longest text in characters.
+#: The labelled sample the model is fitted on: documents of each language, and characters of each.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 200, 8_000
 #: Rounds in which sample documents and sentences that fit another language better than their label are left out.
 CLEANINGS = 1
@@ -359,18 +360,38 @@ def fit(rows: list[tuple[str, str]]) -> ContextTrees | None:
     return trees
 
 
+def excerpt(text: str) -> str:
+    """The text's whole sentences in its first SAMPLE_CHARS characters; whole words if the first sentence is longer."""
+    if len(text) <= SAMPLE_CHARS:
+        return text
+    text = text[: SAMPLE_CHARS + 1]
+    units = units_of(text)
+    if len(units) > 1:
+        return text[: units[-2][1]]
+    whole = re.match(r"[\s\S]*\s", text)
+    return whole[0] if whole else text[:SAMPLE_CHARS]
+
+
 def fitted(documents: DataFrame, text: str, label: str, id_col: str) -> ContextTrees | None:
     """Trees fitted on at most SAMPLE_DOCUMENTS labelled documents a language, the first in the order of a hash.
 
-    Longer texts than SAMPLE_CHARS aren't sampled; the sample, and with it what reaches the driver, is bounded.
+    Of texts longer than SAMPLE_CHARS an excerpt from their first letter on is sampled; the sample, and with it what
+    reaches the driver, is bounded. A warning names the languages without a sample, which can't be found.
     """
+    whole = F.col(text)
+    # a character more than SAMPLE_CHARS tells that there is more
+    start = F.when(F.length(whole) <= SAMPLE_CHARS, whole).otherwise(F.regexp_extract(whole, rf"(?s)\p{{L}}.{{0,{SAMPLE_CHARS}}}", 0))
     rows = documents.select(
-        F.col(id_col).alias("_doc"), F.col(text).alias("_text"), language_of_label(F.col(label)).alias("_lang")
-    ).where(F.col("_lang").isNotNull() & (F.length("_text") <= SAMPLE_CHARS) & F.col("_text").rlike(r"\p{L}"))
+        F.col(id_col).alias("_doc"), start.alias("_text"), language_of_label(F.col(label)).alias("_lang")
+    ).where(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}"))
     ranked = rows.withColumn(
         "_rank", F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64(F.lit(42), "_doc"), "_doc"))
     ).where(F.col("_rank") <= SAMPLE_DOCUMENTS)
-    return fit([(r["_lang"], r["_text"]) for r in ranked.select("_lang", "_text", "_doc").orderBy("_lang", "_doc").collect()])
+    model = fit([(r["_lang"], excerpt(r["_text"])) for r in ranked.select("_lang", "_text", "_doc").orderBy("_lang", "_doc").collect()])
+    missing = [x for x in LANGUAGES if model is None or x not in model.languages]
+    if missing:
+        warnings.warn(f"no labelled sample of {', '.join(missing)}: no text is found to be in these languages", stacklevel=2)
+    return model
 
 
 def language_stretches(
