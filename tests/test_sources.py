@@ -90,3 +90,12 @@ def test_audio_files(spark, tmp_path):
     got = {r["filename"]: r for r in load_audio(spark, str(tmp_path)).collect()}
     assert len(got["a.wav"]["array"]) == 16 and got["a.wav"]["array"][0] == 0.25 and got["a.wav"]["sampling_rate"] == 16_000
     assert got["b.wav"]["array"] is None and got["b.wav"]["error"]
+
+
+def test_first_of_split(spark, tmp_path):
+    df = spark.createDataFrame([(i, "test" if i % 3 else "train") for i in range(500, 560)], "sample_index bigint, split string")
+    df.repartition(4).write.parquet(str(tmp_path / "t"))
+    got = sorted(r["sample_index"] for r in readers.first_of_split(spark, str(tmp_path / "t"), "test[:10]").collect())
+    assert got == [i for i in range(500, 560) if i % 3][:10]
+    assert readers.first_of_split(spark, str(tmp_path / "t"), "test").count() == readers.first_of_split(spark, str(tmp_path / "t"), "test[:900]").count() == 40
+    assert readers.first_of_split(spark, str(tmp_path / "t"), "test[:0]").count() == 0

@@ -45,6 +45,12 @@ def split_slice(spark, folder):
     return readers.load_table(spark, f"{folder}/unified.parquet", split="test[:100]").select("sample_index", "split")
 
 
+@query("SELECT sample_index, split FROM unified WHERE split = 'test' ORDER BY sample_index LIMIT 100")
+def split_first(spark, folder):
+    """The first 100 rows of a split by their position in it."""
+    return readers.first_of_split(spark, f"{folder}/unified.parquet", "test[:100]").select("sample_index", "split")
+
+
 @query("SELECT filename, file_size FROM audio_files")
 def csv_round_trip(spark, folder):
     path = _place(spark, "csv")

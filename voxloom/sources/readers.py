@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.spread import within_goal
+
 
 def load_table(spark: SparkSession, path: str, subset: str | None = None, split: str | None = None, id_col: str = "sample_index") -> DataFrame:
     """A Parquet table; a subset or split is a partition filter, ``split`` may be a slice such as 'test[:10]'.
@@ -35,6 +37,15 @@ def split_slice(spec: str) -> tuple[str, int | None]:
     return m[1], int(m[2]) if m[2] else None
 
 
+def first_of_split(spark: SparkSession, path: str, spec: str, id_col: str = "sample_index") -> DataFrame:
+    """A split of a Parquet table; of a slice such as 'test[:10]' its first ten rows in the order of ``id_col``, which is unique."""
+    name, bound = split_slice(spec)
+    rows = spark.read.parquet(path).where(F.col("split") == name)
+    if bound is None:
+        return rows
+    return within_goal(rows, ["split"], [id_col], spark.range(1).select(F.lit(name).alias("split"), F.lit(bound).cast("bigint").alias("goal")), few=True)
+
+
 def first_readable(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """The first path that is a readable Parquet table; the last error if none is."""
     error: Exception = ValueError("no path given")
