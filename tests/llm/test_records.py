@@ -78,6 +78,13 @@ def test_text_copies(spark, hot):
     assert counts == {3: 2, 6: 2, 100: 20, 101: 20}
 
 
+def test_collapsed(spark):
+    df = spark.createDataFrame([(5, "Ab c"), (3, "a-B  C!"), (9, "abd"), (1, None), (2, "?!"), (4, "?!"), (8, "abc")], "id int, text string")
+    found = collapse.collapse_copies(df, "id", collapse.text_fields("text"))
+    assert dict(rows(collapse.collapsed(df, "id", found))) == {3: 3, 9: 1, 1: 1, 2: 1, 4: 1}
+    assert dict(rows(collapse.collapsed(df, "id", found.limit(0)))) == dict.fromkeys((5, 3, 9, 1, 2, 4, 8), 1)
+
+
 def test_record_copies(spark):
     base = {"text": "Een zin.", "voice": "amber", "up_votes": 3, "model": None}
     texts = [

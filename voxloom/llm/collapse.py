@@ -118,6 +118,13 @@ def collapse_copies(rows: DataFrame, id_col: str, fields: Column) -> DataFrame:
     return found.distinct()
 
 
+def collapsed(rows: DataFrame, id_col: str, found: DataFrame) -> DataFrame:
+    """(keep_id, copies) of every record but the copies in ``found``; 1 where there are none."""
+    ids = rows.select(F.col(id_col).alias("keep_id"))
+    left = ids.join(found.select(F.col("copy_id").alias("keep_id")), "keep_id", "left_anti")
+    return left.join(copy_counts(found), "keep_id", "left").select("keep_id", F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"))
+
+
 def copy_counts(found: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Copies of each kept record, itself included."""
     return found.groupBy(*by, "keep_id").agg((F.count("*") + 1).alias("copies"))

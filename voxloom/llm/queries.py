@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import source_key
+from ..storage import cut
 from . import capping, collapse, cutoff, language, leaks, lookalike, mixing, overlap, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +49,16 @@ def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
     return collapse.copy_counts(_copies(spark, folder), ("table_name",))
 
 
+def p2_collapsed(spark: SparkSession, folder: str) -> DataFrame:
+    """Both tables with each record once and its number of copies."""
+    found = cut(_copies(spark, folder), "copies")
+    tables = [
+        collapse.collapsed(table(spark, folder, name), id_col, found.where(F.col("table_name") == name)).select(F.lit(name).alias("table_name"), "*")
+        for name, id_col in (("unified", "sample_index"), ("raw_records", "record_id"))
+    ]
+    return tables[0].unionByName(tables[1])
+
+
 def _beyond_cap(spark: SparkSession, folder: str) -> DataFrame:
     return capping.drop_beyond_cap(table(spark, folder, "unified"), "client_id", capping.vote_balance(), "sample_index")
 
@@ -143,6 +154,7 @@ QUERIES: dict[str, Query] = {
         p1_cutoffs,
         p2_found,
         p2_counts,
+        p2_collapsed,
         p3_found,
         p3_dropped,
         p4_found,

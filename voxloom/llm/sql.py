@@ -69,6 +69,11 @@ dp AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 7), ' ') AS
 SELECT DISTINCT item_id, doc_id FROM ip JOIN dp USING (p)""",
     "p2_found": f"{_COPIES} SELECT t AS table_name, k AS keep_id, id AS copy_id FROM g WHERE id <> k",
     "p2_counts": f"{_COPIES} SELECT t AS table_name, k AS keep_id, count(*) AS copies FROM g GROUP BY t, k HAVING count(*) > 1",
+    "p2_collapsed": f"""{_COPIES},
+c AS (SELECT t, k, count(*) AS copies FROM g GROUP BY t, k)
+SELECT a.t AS table_name, a.id AS keep_id, coalesce(c.copies, 1) AS copies
+FROM (SELECT 'unified' AS t, sample_index AS id FROM unified UNION ALL SELECT 'raw_records', record_id FROM raw_records) a
+LEFT JOIN g ON g.t = a.t AND g.id = a.id LEFT JOIN c ON c.t = a.t AND c.k = a.id WHERE coalesce(g.k, a.id) = a.id""",
     "p4_found": """
 WITH RECURSIVE e AS (
   SELECT DISTINCT lower(trim(client_id)) AS c, lower(trim(voice)) AS v FROM unified
