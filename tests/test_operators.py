@@ -180,3 +180,8 @@ def test_within_goal(spark):
     df = spark.createDataFrame([("a", i, "x") for i in range(20)] + [("b", 1, "y"), ("c", 2, "z")], "k string, n int, goal string")
     goals = spark.createDataFrame([("a", 3), ("b", 5), ("c", 0)], "k string, goal bigint")
     assert rows(spread.within_goal(df, ["k"], ["n"], goals)) == [("a", 0, "x"), ("a", 1, "x"), ("a", 2, "x"), ("b", 1, "y")]
+
+
+def test_pool_groups(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0], 1), ("a", [3.0, 6.0], 1), ("a", [5.0, 1.0], 1), ("a", [90.0, 90.0], 0), ("b", [7.0, 7.0], 0), ("b", [7.0, 7.0], None)], "k string, v array<float>, m int")
+    assert rows(scorer.pool_groups(df, ["k"], "v", F.col("m") == 1)) == [("a", 0, 3.0), ("a", 1, 3.0), ("b", 0, 0.0), ("b", 1, 0.0)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -66,3 +66,14 @@ def verify(df: DataFrame, score: Column, threshold: float = 0.8) -> DataFrame:
             "recommendation": advice(level),
         }
     )
+
+
+def pool_groups(tokens: DataFrame, by: Sequence[str], vector: str, mask: Column) -> DataFrame:
+    """(by, dim, mean_pooled): the mean of each group's vectors where the mask holds, zeros if it holds nowhere.
+
+    A partial aggregate by dimension: groups have any number of vectors.
+    """
+    kept = F.coalesce(mask.cast("int"), F.lit(0))
+    long = tokens.select(*by, kept.alias("_kept"), F.posexplode(vector).alias("dim", "_x"))
+    total = F.coalesce(F.sum(F.when(F.col("_kept") == 1, F.col("_x").cast("double"))), F.lit(0.0))
+    return long.groupBy(*by, "dim").agg((total / F.greatest(F.sum("_kept").cast("double"), F.lit(1e-9))).alias("mean_pooled"))

@@ -9,7 +9,7 @@ from ..functions import losses
 from ..functions import scoring as sc
 from ..functions.keys import once
 from ..operators import report
-from ..operators.scorer import filter_by_score, score_batches, verify
+from ..operators.scorer import filter_by_score, pool_groups, score_batches, verify
 from .registry import query, table
 
 
@@ -264,6 +264,14 @@ def pooled_vectors(spark, folder):
     return ends.select("label", F.posexplode(pooled).alias("dim", "mean_pooled")).withColumn("mean_pooled", F.round("mean_pooled", 6))
 
 
+@query("""WITH t AS (SELECT label, vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings)
+SELECT label, i AS dim, round(coalesce(sum(CAST(x AS DOUBLE)) FILTER (vec_id % 4 <> 3), 0) / greatest(count(*) FILTER (vec_id % 4 <> 3), 1e-9), 6) AS mean_pooled FROM t GROUP BY 1, 2""")
+def pooled_labels(spark, folder):
+    """All vectors of each label as tokens of a text, every fourth one masked out, mean-pooled."""
+    e = table(spark, folder, "embeddings")
+    return pool_groups(e, ["label"], "embedding", F.col("vec_id") % 4 != 3).withColumn("mean_pooled", F.round("mean_pooled", 6))
+
+
 @query("""WITH t AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), w AS (SELECT vec_id, x, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS a FROM t)
 SELECT vec_id, round(sum(a * x), 6) AS attended, round(max(a), 6) AS top_weight FROM w GROUP BY 1""")
 def attentive_scores(spark, folder):
