@@ -321,6 +321,11 @@ def test_stretches():
     assert language.stretches(bits(0, 0, 1, 1, 1, 0, 0)) == [(0, 2, 0), (2, 5, 1), (5, 7, 0)]
 
 
+@pytest.mark.parametrize("a,b", [("\u2163", "IV"), ("\u217a x", "xi x"), ("\u0149", "\u02bcn"), ("\u0587", "\u0565\u0582"), ("\u0555h", "Oh"), ("\u13aa\u13ac", "AE"), ("\u13a1\u13da", "R\u13da"), ("\u13ab", "J")])
+def test_same_look_of_numerals_and_other_scripts(a, b):
+    assert RUN(a) == RUN(b)
+
+
 def pieces(text):
     return [text[a:b] for a, b, _ in language.units_of(text)]
 

@@ -21,12 +21,14 @@ LOOKALIKES = """
 а a  е e  о o  р p  с c  у y  х x  ѕ s  і i  ј j  һ h  ԛ q  ԝ w  ԁ d  ӏ l
 Α A  Β B  Ε E  Ζ Z  Η H  Ι I  Κ K  Μ M  Ν N  Ο O  Ρ P  Τ T  Υ Y  Χ X
 ο o  ν v  ρ p  ϲ c  ϳ j  ı i  ɡ g  ɑ a
+Օ O  Տ S  Ս U  Լ L  օ o  ս u  ո n  հ h  զ q  ց g  յ j
+Ꭰ D  Ꭱ R  Ꭲ T  Ꭺ A  Ꭻ J  Ꭼ E  Ꮃ W  Ꮇ M  Ꮋ H  Ꮐ G  Ꮓ Z  Ꮪ S  Ꮩ V  Ꮮ L  Ꮯ C  Ꮲ P  Ꮶ K  Ᏼ B
 ‐ -  ‑ -
 """
 # Compatibility forms that differ in width, in joining or as a ligature only.
 SAME_LOOK = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<small>", "<noBreak>")
-# Joined letters (Latin and Armenian ligatures, digraphs) under "<compat>".
-JOINED = [*range(0x132, 0x134), *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4), *range(0xFB00, 0xFB07), *range(0xFB13, 0xFB18)]
+# Joined letters (Latin, Armenian and Lao ligatures, digraphs) and Roman numerals under "<compat>".
+JOINED = [*range(0x132, 0x134), 0x149, 0x587, 0xEDC, 0xEDD, *range(0x2160, 0x2180), *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4), *range(0xFB00, 0xFB07), *range(0xFB13, 0xFB18)]
 #: Unassigned fillers that show nothing although they are letters.
 BLANK_LETTERS = [0x115F, 0x1160, 0x3164, 0xFFA0, 0x034F, 0x180B, 0x180C, 0x180D, 0x17B4, 0x17B5]
 
