@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom.operators import corrupt, histogram, joins, ordered, report, scorer, spread, subsets
+from voxloom import storage
+from voxloom.functions import losses, scoring
 from voxloom.storage import cut, shared_dir
 
 
@@ -185,3 +187,90 @@ def test_within_goal(spark):
 def test_pool_groups(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0], 1), ("a", [3.0, 6.0], 1), ("a", [5.0, 1.0], 1), ("a", [90.0, 90.0], 0), ("b", [7.0, 7.0], 0), ("b", [7.0, 7.0], None)], "k string, v array<float>, m int")
     assert rows(scorer.pool_groups(df, ["k"], "v", F.col("m") == 1)) == [("a", 0, 3.0), ("a", 1, 3.0), ("b", 0, 0.0), ("b", 1, 0.0)]
+
+
+def test_quantiles_of_equal_values(spark, monkeypatch):
+    """Nine of ten values are equal: no partition of the sorted rows holds them all."""
+    df = spark.range(2000).select(F.lit("k").alias("k"), F.when(F.col("id") % 10 > 0, 1.0).otherwise(F.col("id") / 2000).alias("v"))
+    sizes = []
+    real = spread.range_sorted
+
+    def counted(rows, keys, order):
+        out = real(rows, keys, order)
+        sizes.append(out.groupBy("_part").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(spread, "range_sorted", counted)
+    got = spread.quantiles(df, ["k"], "v", {"q1": 0.05, "m": 0.5}).first()
+    assert sizes[0] <= 200 < 1800  # at most the distinct values
+    values = sorted(1.0 if i % 10 else i / 2000 for i in range(2000))
+    at = 0.05 * 1999
+    assert got["m"] == 1.0 and got["q1"] == pytest.approx(values[int(at)] + (values[int(at) + 1] - values[int(at)]) * (at % 1))
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_even_join(spark, monkeypatch, how):
+    """One key and the null key with most of the rows."""
+    monkeypatch.setattr(spread, "HOT_LEAST", 10)
+    key = F.when(F.col("id") < 150, "hot").when(F.col("id") < 220, None).otherwise(F.col("id").cast("string"))
+    left = spark.range(260).select("id", key.alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("extra"))
+    right = spark.createDataFrame([("hot", 1), ("230", 2), ("none", 3)], "k string, n int")
+    got = spread.even_join(left, right, "k", how).drop("extra")
+    assert rows(got) == rows(left.drop("extra").join(right, "k", how))
+    assert rows(spread.even_join(left.limit(0), right, "k", how)) == []
+
+
+def test_released_tables(spark):
+    one, two = cut(spark.range(3), "t"), cut(spark.range(4), "t")
+    storage.discard(one)
+    assert not storage.exists(spark, one._cut_at) and two.count() == 4
+    storage.release(spark)
+    assert not storage.exists(spark, two._cut_at)
+    assert cut(spark.range(5), "t").count() == 5
+
+
+def test_lists_and_ranks(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, t string")
+    listed = spark.createDataFrame([(2, 0), (9, 1), (1, 2), (2, 3)], "id bigint, o int")
+    assert rows(joins.select_in_order(df, listed, "id", ["o"]).select("at", "t")) == [(0, "b"), (2, "a"), (3, "b")]
+    s = spark.createDataFrame([(1, 0.5), (2, None), (3, math.nan), (4, 0.9), (5, 0.5)], "id bigint, s double")
+    assert rows(ordered.ranked(s, "s", "id").select("rank", "id")) == [(1, 4), (2, 1), (3, 5), (4, 2), (5, 3)]
+
+
+def test_carried_columns(spark):
+    df = spark.createDataFrame([(1, "a", None, {"k": 1}, 5), (2, "", 7, None, 6)], "id int, text string, n bigint, m map<string,int>, similarity int")
+    got = scorer.score_batches(df, lambda b: pd.DataFrame({"similarity": b["text"].str.len() * 1.0, "alignment_score": float("nan")}), ["text"])
+    assert got.columns == ["id", "n", "m", "similarity", "alignment_score", "status"]
+    assert rows(got) == [(1, None, {"k": 1}, 1.0, None, "scored"), (2, 7, None, None, None, "no_input")]
+    assert rows(scorer.only_scored(got).select("id")) == [(1,)]
+    assert scorer.score_batches(df.limit(0), lambda b: b, ["text"]).count() == 0
+
+
+def test_scales_and_verdicts(spark):
+    with pytest.raises(ValueError):
+        scoring.readable(F.lit(0.1), "percent")
+    shown = spark.range(1).select(scoring.readable(F.lit(0.0)), scoring.readable(F.lit(0.0), "prob"), losses.uncertainty_weight(F.lit(0.0))).first()
+    assert tuple(shown) == (0.5, 0.5, 1.0)
+    v = spark.createDataFrame([(x,) for x in (0.0, -0.0005, 0.005, 0.04, 0.05, None, math.nan)], "d double")
+    assert [r[0] for r in v.select(scoring.likeness(F.col("d"))).collect()] == ["excellent", "excellent", "good", "acceptable", "check", None, None]
+    labels = spark.createDataFrame([(False, 0.3), (True, 0.3), (True, None)], "c boolean, s double")
+    assert [r[0] for r in labels.select(losses.alignment_label(F.col("c"), F.col("s"))).collect()] == [0.9, 0.3, 0.1]
+
+
+def test_building_all(spark, tmp_path):
+    real = spark.createDataFrame([(1, "x", "train"), (2, "y", "test")], "sample_index bigint, text string, split string")
+    syn = spark.createDataFrame([(3, "z", "high")], "sample_index bigint, text string, band string")
+    made, checks = subsets.build_all(("cv_only", "fully_synthetic"), syn, real, syn, str(tmp_path / "s"))
+    assert rows(made.select("subset", "split", "num_samples", "sample_text")) == [
+        ("cv_only", "test", 1, "y..."), ("cv_only", "train", 1, "x..."), ("fully_synthetic", "test", 1, "y..."), ("fully_synthetic", "train", 1, "z...")
+    ]
+    assert len(checks) == 8 and all(ok for _, _, ok, _ in checks)
+    sounds = spark.createDataFrame([("s", "train", 2, (16000,), "t"), ("s", "train", 1, (8000,), "u")], "subset string, split string, sample_index int, audio struct<sampling_rate:int>, text string")
+    assert subsets.summary(sounds).first()["sampling_rate"] == 8000
+
+
+def test_shuffled_segments(spark):
+    """Segments of two words and more are drawn, also at the very end."""
+    df = spark.createDataFrame([(i, "a b c") for i in range(400)], "id int, text string")
+    got = {r["corrupted"] for r in corrupt.with_corruption(df, "text", "id", "shuffle").collect()}
+    assert {"a b c", "b a c", "a c b"} < got and all(sorted(x.split()) == ["a", "b", "c"] for x in got)

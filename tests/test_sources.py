@@ -15,8 +15,10 @@ def test_split_slice():
 def test_tables(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", "train"), (2, "b", "test"), (30, "c", "test")], "sample_index int, text string, split string")
     writers.save_splits(df, str(tmp_path / "t"))
-    got = readers.load_table(spark, str(tmp_path / "t"), split="test[:10]")
-    assert [r["text"] for r in got.collect()] == ["b"]
+    first = readers.load_table(spark, str(tmp_path / "t"), split="test[:1]")
+    assert [r["text"] for r in first.collect()] == ["b"]
+    got = readers.load_table(spark, str(tmp_path / "t"), split="test")
+    assert sorted(r["text"] for r in got.collect()) == ["b", "c"]
     assert "PartitionFilters: [isnotnull(split" in got._jdf.queryExecution().executedPlan().toString()
     writers.replace_splits(df.where("split = 'test' AND sample_index = 2"), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
@@ -92,10 +94,59 @@ def test_audio_files(spark, tmp_path):
     assert got["b.wav"]["array"] is None and got["b.wav"]["error"]
 
 
-def test_first_of_split(spark, tmp_path):
+def test_slices(spark, tmp_path):
     df = spark.createDataFrame([(i, "test" if i % 3 else "train") for i in range(500, 560)], "sample_index bigint, split string")
     df.repartition(4).write.parquet(str(tmp_path / "t"))
-    got = sorted(r["sample_index"] for r in readers.first_of_split(spark, str(tmp_path / "t"), "test[:10]").collect())
-    assert got == [i for i in range(500, 560) if i % 3][:10]
-    assert readers.first_of_split(spark, str(tmp_path / "t"), "test").count() == readers.first_of_split(spark, str(tmp_path / "t"), "test[:900]").count() == 40
-    assert readers.first_of_split(spark, str(tmp_path / "t"), "test[:0]").count() == 0
+
+    def ids(spec):
+        return sorted(r["sample_index"] for r in readers.load_table(spark, str(tmp_path / "t"), split=spec).collect())
+
+    assert ids("test[:10]") == [i for i in range(500, 560) if i % 3][:10]
+    assert ids("test") == ids("test[:900]") == [i for i in range(500, 560) if i % 3]
+    assert ids("test[:0]") == [] and readers.first_rows(df.limit(0), "sample_index", 3).count() == 0
+
+
+def _stream(spark, folder, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_quota_of_a_stream(spark, tmp_path):
+    """A bucket with most rows, over several micro-batches: the first rows in order of arrival."""
+    for k in range(3):
+        rows = [("hot" if i % 5 else None if i % 2 else "cold", 100 * k + i) for i in range(60)]
+        spark.createDataFrame(rows, "bucket string, n bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    online.accept_up_to(_stream(spark, tmp_path / "in", "bucket string, n bigint"), "bucket", ["n"], {"hot": 70, "cold": 4}, out, state).awaitTermination()
+    got = spark.read.parquet(out).groupBy("bucket").agg(F.count("*").alias("c"))
+    assert sorted(tuple(r) for r in got.collect()) == [("cold", 4), ("hot", 70)]
+    hot = sorted(r["batch"] for r in spark.read.parquet(out).where("bucket = 'hot'").collect())
+    assert hot == [0] * 48 + [1] * 22
+    again = online.accept_up_to(_stream(spark, tmp_path / "in", "bucket string, n bigint"), "bucket", ["n"], {"hot": 70, "cold": 4}, out, state)
+    again.awaitTermination()
+    assert spark.read.parquet(out).count() == 74
+
+
+def test_first_seen_on_a_stream(spark, tmp_path):
+    for k, words in enumerate((["A", "b", "a ", None], ["B ", "c"], ["a", "d", "d"])):
+        rows = [(10 * k + i, w) for i, w in enumerate(words)]
+        spark.createDataFrame(rows, "i bigint, s string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = online.keep_first_seen(_stream(spark, tmp_path / "in", "i bigint, s string"), F.lower(F.trim("s")), ["i"], str(tmp_path / "out"), str(tmp_path / "state"))
+    q.awaitTermination()
+    got = sorted(r["s"].strip().lower() for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == ["a", "b", "c", "d"]
+    assert spark.read.parquet(str(tmp_path / "out")).where("batch = 0").count() >= 1
+
+
+def test_dashboard_and_progress(spark, tmp_path):
+    spark.range(30).write.parquet(str(tmp_path / "in"))
+    seen = []
+    q = online.dashboard(_stream(spark, tmp_path / "in", "id bigint"), lambda batch, n: seen.append(batch.count()), str(tmp_path / "a"), "100 milliseconds")
+    q.processAllAvailable()
+    q.stop()
+    assert sum(seen) == 30
+    for _ in range(2):  # a second run goes on where the first stood
+        online.save_progress(_stream(spark, tmp_path / "in", "id bigint"), str(tmp_path / "out"), str(tmp_path / "b")).awaitTermination()
+        assert spark.read.parquet(str(tmp_path / "out")).count() == 30
+    spark.range(30, 40).write.mode("append").parquet(str(tmp_path / "in"))
+    online.save_progress(_stream(spark, tmp_path / "in", "id bigint"), str(tmp_path / "out"), str(tmp_path / "b")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 40

@@ -70,7 +70,10 @@ def with_word_edits(df: DataFrame, reference: str, hypothesis: str, out: str = "
 
 
 def word_edits_expr(reference: Column, hypothesis: Column) -> Column:
-    """The same distance from built-in functions alone; slower, for where Python can't run."""
+    """The same distance from built-in functions alone, for where Python can't run.
+
+    Rows of the table are arrays that grow by copying, so the work is cubic in the words: for sentences, not for long texts.
+    """
     first = F.transform(F.sequence(F.lit(0), F.size(hypothesis)), lambda x: x.cast("int"))
 
     def next_row(row: Column, word: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,15 @@ def probability(cos: Column, temperature: float = 0.1) -> Column:
     return 1 / (1 + F.exp(-cos / temperature))
 
 
+def readable(cos: Column, scale: str = "0to1", temperature: float = 0.1) -> Column:
+    """A cosine on the named scale: '0to1' or 'prob'."""
+    if scale == "0to1":
+        return unit_scale(cos)
+    if scale == "prob":
+        return probability(cos, temperature)
+    raise ValueError(f"unknown scale {scale!r}: '0to1' or 'prob'")
+
+
 def unit_from_probability(p: Column, temperature: float = 0.1) -> Column:
     """The unit scale that a probability stands for; 0 and 1 give the ends."""
     inner = (temperature * F.log(p / (1 - p)) + 1) / 2
@@ -82,6 +93,19 @@ def mean_absolute_error(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / F.size(a))
 
 
+# The differences below which two computations count as alike, and their names.
+LIKENESS = ((0.001, "excellent"), (0.01, "good"), (0.05, "acceptable"))
+
+
+def likeness(difference: Column, limits: Sequence[tuple[float, str]] = LIKENESS) -> Column:
+    """The first name whose limit the absolute difference is below, 'check' beyond all; null for null and NaN."""
+    size = F.abs(difference)
+    out = F.when(size.isNull() | F.isnan(size), F.lit(None))
+    for limit, name in limits:
+        out = out.when(size < limit, name)
+    return out.otherwise("check")
+
+
 def weighted_pool(vectors: Column, weights: Column, least: float = 1e-9) -> Column:
     """Sum of weight * vector over the tokens, divided by the sum of weights (at least ``least``)."""
     total = F.greatest(F.aggregate(weights, F.lit(0.0), lambda s, x: s + x.cast("double")), F.lit(least))

@@ -9,7 +9,7 @@ from ..functions import arrays
 from ..functions.keys import once
 from ..functions.text import seeded, word_array
 
-# Common Dutch words that fill or replace (a parameter for other languages).
+#: Common Dutch words that fill or replace (a parameter for other languages).
 FILLERS = (
     "de het een en van in is dat op te zijn met voor niet aan er om ook als dan maar bij nog uit naar door over ze ik hij"
 ).split()
@@ -22,7 +22,7 @@ def with_corruption(
     """``df`` with columns strategy, corrupted, correctness; every text is corrupted.
 
     replace: one word becomes a filler, (n-1)/n even if it is the same word. shuffle: a segment of
-    three or more words is put in another order, correctness is the share of words still in
+    two or more words is put in another order, correctness is the share of words still in
     place; two words stay as they are, 1.0. drop word k: k/n. insert before k: k/(n+1). half: the
     first or last half (the larger one last), 0.5. A text of at most one word gets a filler
     appended, 0.5 (strategy 'append'). Null gives null. ``strategy`` fixes the
@@ -40,7 +40,7 @@ def with_corruption(
     chosen = F.lit(strategy) if strategy else F.element_at(
         F.array(*[F.lit(s) for s in STRATEGIES]), draw("strategy", F.lit(len(STRATEGIES))) + 1
     )
-    begin = draw("begin", n - 2)
+    begin = draw("begin", n - 1)
     draws = F.struct(
         F.when(F.col(text).isNull(), F.lit(None)).when(n <= 1, "append").otherwise(chosen).alias("strategy"),
         F.element_at(F.array(*[F.lit(x) for x in fillers]), draw("word", F.lit(len(fillers))) + 1).alias("word"),
@@ -48,7 +48,7 @@ def with_corruption(
         draw("at", n + 1).alias("put"),
         draw("half", F.lit(2)).alias("half"),
         begin.alias("begin"),
-        F.least(F.lit(3) + draw("length", n - begin - 2), n - begin).alias("length"),
+        F.least(F.lit(2) + draw("length", n - begin - 1), n - begin).alias("length"),
     )
     drawn = split.withColumn("_d", once(draws))
     name, word, at, put = (F.col(f"_d.{c}") for c in ("strategy", "word", "at", "put"))

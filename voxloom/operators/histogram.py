@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key, word_count
-from .spread import within_goal
+from .spread import even_join, within_goal
 
 
 def histogram(df: DataFrame, value: Column, name: str = "wc", count: str = "n") -> DataFrame:
@@ -54,15 +54,15 @@ def validate(candidates: DataFrame, sentence: str, target: str, arrival: str) ->
     """``candidates`` with ``reason``: null for the first arrival of each normalised sentence that is valid alone.
 
     Of valid candidates with one key all but the first are 'duplicate'; the first is found by a
-    partial aggregate and joined back, so a sentence repeated very often makes no large group.
+    partial aggregate and joined back in slices, so a sentence repeated very often makes no large group.
     Rows of one arrival and key count as one arrival.
     """
     checked = candidates.withColumn("reason", reject_reason(F.col(sentence), F.col(target))).withColumn(
-        "_key", norm_key(F.col(sentence))
+        "_key", F.when(F.col("reason").isNull(), F.unhex(F.md5(norm_key(F.col(sentence)))))
     )
-    firsts = checked.where(F.col("reason").isNull()).groupBy("_key").agg(F.min(arrival).alias("_first"))
+    firsts = checked.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min(arrival).alias("_first"))
     return (
-        checked.join(firsts, "_key", "left")
+        even_join(checked, firsts, "_key", "left")
         .withColumn("reason", F.coalesce("reason", F.when(F.col(arrival) > F.col("_first"), "duplicate")))
         .drop("_key", "_first")
     )

@@ -8,49 +8,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import audio_filename, filename_hash, filename_voice, norm_key
+from .ordered import global_position
+from .spread import even_join
+
+
+def _digest(text: Column) -> Column:
+    """16 bytes for the normalised text; null for null and empty texts (blank ones are the key '')."""
+    return F.when(text.isNotNull() & (text != ""), F.unhex(F.md5(norm_key(text))))
 
 
 def _keys(df: DataFrame, text: str) -> DataFrame:
-    """Distinct keys of texts that aren't null or empty (blank ones stay, as key '')."""
-    return df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(norm_key(F.col(text)).alias("_key")).distinct()
+    return df.select(_digest(F.col(text)).alias("_key")).where(F.col("_key").isNotNull()).distinct()
 
 
 def match_text(left: DataFrame, right: DataFrame, text: str, other: str | None = None, keep: str = "matched") -> DataFrame:
     """Rows of ``left`` whose normalised text is (or, keep='unmatched', isn't) among those of ``right``.
 
-    Null and empty texts match nothing.
+    Null and empty texts match nothing. Texts are compared by digests of their keys; a text of very many rows is joined in slices.
     """
-    filled = F.col(text).isNotNull() & (F.col(text) != "")
-    keyed = left.withColumn("_key", F.when(filled, norm_key(F.col(text))))
-    how = "left_semi" if keep == "matched" else "left_anti"
-    return keyed.join(_keys(right, other or text), "_key", how).drop("_key")
+    keyed = left.withColumn("_key", _digest(F.col(text)))
+    if keep == "matched":
+        return even_join(keyed.where(F.col("_key").isNotNull()), _keys(right, other or text), "_key", "left_semi").drop("_key")
+    return even_join(keyed, _keys(right, other or text), "_key", "left_anti").drop("_key")
 
 
 def match_statistics(left: DataFrame, right: DataFrame, text: str, other: str | None = None) -> DataFrame:
     """One row: rows, matched, excluded, rate in per cent (0 for no rows), distinct matched texts as written."""
-    filled = F.col(text).isNotNull() & (F.col(text) != "")
-    keyed = left.withColumn("_key", F.when(filled, norm_key(F.col(text))))
-    flagged = keyed.join(_keys(right, other or text).withColumn("_hit", F.lit(True)), "_key", "left")
+    # rows of one text are counted before the join, so a text of very many rows is one row there
+    counted = left.groupBy(F.col(text).alias("_text")).agg(F.count("*").alias("_n")).withColumn("_key", _digest(F.col("_text")))
+    flagged = counted.join(_keys(right, other or text).withColumn("_hit", F.lit(True)), "_key", "left")
     hit = F.col("_hit").isNotNull()
-    matched = F.count_if(hit)
+    rows, matched = F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum(F.when(hit, F.col("_n"))), F.lit(0))
     return flagged.agg(
-        F.count("*").alias("rows"),
+        rows.alias("rows"),
         matched.alias("matched"),
-        (F.count("*") - matched).alias("excluded"),
-        F.when(F.count("*") > 0, matched / F.count("*") * 100).otherwise(F.lit(0.0)).alias("rate"),
-        F.count_distinct(F.when(hit, F.col(text))).alias("distinct_matched"),
+        (rows - matched).alias("excluded"),
+        F.when(rows > 0, matched / rows * 100).otherwise(F.lit(0.0)).alias("rate"),
+        F.count_if(hit).alias("distinct_matched"),
     )
 
 
 def attach_last(left: DataFrame, right: DataFrame, key: str, order: str, values: Sequence[str], missing: dict | None = None) -> DataFrame:
     """Left join with the last row (by ``order``) of each key on the right; defaults where there is none.
 
-    The last row is a partial aggregate, so repeated keys multiply nothing. Null keys never match.
+    The last row is a partial aggregate, so repeated keys multiply nothing; a key of very many rows on the left is
+    joined in slices. Null keys never match.
     """
     last = right.where(F.col(key).isNotNull()).groupBy(key).agg(
         F.max(F.struct(F.col(order), *[F.col(v) for v in values])).alias("_last")
     )
-    joined = left.drop(*values).join(last, key, "left")
+    joined = even_join(left.drop(*values), last, key, "left")
     out = [
         F.when(F.col("_last").isNull(), F.lit((missing or {}).get(v))).otherwise(F.col(f"_last.{v}")).alias(v) for v in values
     ]
@@ -109,6 +116,12 @@ def select_by_index(rows: DataFrame, indices: DataFrame, id_col: str, repeats: b
     return rows.join(wanted, id_col) if repeats else rows.join(wanted.distinct(), id_col, "left_semi")
 
 
+def select_in_order(rows: DataFrame, indices: DataFrame, id_col: str, order: Sequence[str]) -> DataFrame:
+    """Rows with their place ``at`` (from 0) in the list of indices sorted by ``order``: repeated ids come out repeatedly, missing ones leave gaps."""
+    listed = global_position(indices.select(id_col, *[c for c in order if c != id_col]), [F.col(c) for c in order], "at")
+    return rows.join(listed.select(id_col, "at"), id_col)
+
+
 def generation_plan(texts: DataFrame, files: DataFrame, id_col: str, text: str, voice: str, model: str) -> DataFrame:
     """(id, filename, status): 'cached' if the file named after the content is there, 'to_generate' if not, 'no_name' without a name."""
     rows = texts.select(id_col, audio_filename(F.col(text), F.col(voice), F.col(model)).alias("filename"))

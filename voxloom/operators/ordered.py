@@ -98,6 +98,12 @@ def every(df: DataFrame, position: Column, n: int) -> DataFrame:
     return df.where((position + 1) % n == 0)
 
 
+def ranked(df: DataFrame, score: str, id_col: str, out: str = "rank") -> DataFrame:
+    """``df`` with each row's rank (from 1) by the score, highest first, null and NaN last, ties by id."""
+    s = F.when(~F.isnan(score), F.col(score))
+    return global_position(df, [s.desc_nulls_last(), F.col(id_col)], out).withColumn(out, F.col(out) + 1)
+
+
 def shuffled_order(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     """``df`` in seeded order: the same in every run and any partitioning."""
     return df.withColumn("_h", seeded(F.col(id_col), seed=seed)).orderBy("_h", id_col).drop("_h")

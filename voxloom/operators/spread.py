@@ -64,6 +64,31 @@ def spread_join(
     return left.drop("_slices").join(right, [*keys, "_slice"], how).drop("_slice")
 
 
+def even_join(rows: DataFrame, table: DataFrame, key: str, how: str) -> DataFrame:
+    """Join ``rows`` with ``table`` on ``key``, in slices where a key has very many ``rows``.
+
+    For keys that ``table`` has once. ``how`` is inner, left, left_semi or left_anti. The keys of ``rows`` are counted by partial
+    aggregates; at most HOT_PARTS can be hot, and only their list is broadcast. Rows with a null key match nothing and
+    are spread too. Rows that are alike in all columns share a slice.
+    """
+    total = rows.count()
+    limit = hot_limit(total)
+    if total <= limit:
+        return rows.join(table, key, how)
+    hot = cut(
+        rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+        .select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_slices")),
+        "hot",
+    )
+    salt = F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t and "variant" not in t])
+    slices = F.when(F.col(key).isNull(), HOT_PARTS).otherwise(F.coalesce("_slices", F.lit(1)))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_slice", F.pmod(salt, slices).cast("int")).drop("_slices")
+    right = table.join(F.broadcast(hot), key, "left").withColumn(
+        "_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))
+    ).drop("_slices")
+    return left.join(right, [key, "_slice"], how).drop("_slice")
+
+
 def range_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """``df`` in range partitions of (keys, order), written, with the partition as ``_part``."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -128,21 +153,23 @@ def within_goal(df: DataFrame, keys: Sequence[str], order: Sequence[str], goals:
 def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact quantiles (linear between neighbours) of each group, a column for each share; null values are left out.
 
-    Values are range-sorted and only the rows at the wanted ranks are read, so no task holds a group's values.
+    Equal values are counted first, as a partial aggregate, so a value that half of the rows share is one row.
+    The counted values are range-sorted and only those at the wanted ranks are read, so no task holds a group's values.
     """
     rows = df.select(*by, F.col(value).alias("_q")).where(F.col("_q").isNotNull())
     if not by:
         rows = rows.withColumn("_all", F.lit(0))
     keys = list(by) or ["_all"]
     safe = [F.struct(*[F.col(k) for k in keys]).alias("_g")]  # a struct is never null, whatever its fields
-    ranged = range_sorted(rows.select(*safe, "_q"), ["_g"], [F.col("_q")])
-    sizes = cut(ranged.groupBy("_g").agg(F.count("*").alias("_n")), "sizes")
+    counted = rows.select(*safe, "_q").groupBy("_g", "_q").agg(F.count("*").alias("_times"))
+    ranged = range_sorted(counted, ["_g"], [F.col("_q")])
+    sizes = cut(ranged.groupBy("_g").agg(F.sum("_times").alias("_n")), "sizes")
     places = F.array(*[F.struct(F.lit(n).alias("name"), ((F.col("_n") - 1) * F.lit(s)).alias("at")) for n, s in shares.items()])
     wanted = sizes.select("_g", F.explode(places).alias("p")).select(
         "_g", "p.name", (F.col("p.at") - F.floor("p.at")).alias("part"), (F.floor("p.at") + 1).cast("bigint").alias("lo"), (F.ceil("p.at") + 1).cast("bigint").alias("hi")
     )
     goals = wanted.select("_g", F.explode(F.array("lo", "hi")).alias("goal")).distinct()
-    found = cut(boundary_rows(ranged, ["_g"], [F.col("_q")], goals).select("_g", "goal", "_q").distinct(), "ranks")
+    found = cut(boundary_rows(ranged, ["_g"], [F.col("_q")], goals, "_times").select("_g", "goal", "_q").distinct(), "ranks")
     low, high = found.select("_g", F.col("goal").alias("lo"), F.col("_q").alias("_l")), found.select("_g", F.col("goal").alias("hi"), F.col("_q").alias("_h"))
     made = wanted.join(low, ["_g", "lo"]).join(high, ["_g", "hi"]).withColumn("q", F.col("_l") + (F.col("_h") - F.col("_l")) * F.col("part"))
     out = made.groupBy("_g").agg(*[F.max(F.when(F.col("name") == n, F.col("q"))).alias(n) for n in shares])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import conform, schema_gaps
+from ..sources.writers import publish, save_splits
 from .joins import match_text
 
 # The constants that real rows carry.
@@ -96,9 +98,46 @@ def consistency(subsets: dict[str, DataFrame]) -> list[tuple[str, str, bool, str
     return out
 
 
+def build_all(
+    names: Sequence[str], synthetic: DataFrame, real: DataFrame, banded: DataFrame, path: str, id_col: str = "sample_index"
+) -> tuple[DataFrame, list[tuple[str, str, bool, str]]]:
+    """Build the named subsets, check them against each other, save those that can be and summarise them.
+
+    Saved as ``path``/subset=.../split=.... Gives the summary of what was saved and (subset, check, ok, detail): columns,
+    types, whether the write worked, and whether held-out splits have the same rows as those of the first one. A
+    subset that fails doesn't stop the rest.
+    """
+    spark = synthetic.sparkSession
+    built = {n: build_subset(n, synthetic, real, banded, id_col) for n in names}
+    checks = consistency(built)
+
+    def writing(df: DataFrame, n: str) -> Callable[[], None]:
+        return lambda: save_splits(df.drop("subset"), f"{path}/subset={n}")
+
+    written = publish({n: writing(df, n) for n, df in built.items()})
+    checks += [(n, "saved", ok, error) for n, ok, error in written]
+    good = [n for n, ok, _ in written if ok]
+    if not good:
+        return summary(built[names[0]].limit(0), id_col), checks
+    columns = built[good[0]].drop("subset", "split").schema.fields
+    parts = [T.StructField(c, T.StringType()) for c in ("subset", "split")]
+    saved = spark.read.schema(T.StructType([*columns, *parts])).parquet(path).where(F.col("subset").isin(good))
+    held = saved.where(F.col("split").isin("validation", "test")).groupBy("subset").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(id_col, "split")).alias("x"))
+    marks = {r["subset"]: (r["n"], r["x"]) for r in held.collect()}  # a row a subset
+    first = marks.get(good[0], (0, None))
+    checks += [(n, "held out", marks.get(n, (0, None)) == first, f"{marks.get(n, (0, None))[0]} rows") for n in good]
+    return summary(saved, id_col), checks
+
+
 def summary(df: DataFrame, id_col: str = "sample_index") -> DataFrame:
-    """Of each subset and split: rows and the first text, cut to 100 characters with dots."""
+    """Of each subset and split: rows, columns, and the first text, cut to 100 characters with dots.
+
+    A column ``audio`` that is a struct with a sampling rate adds the first row's.
+    """
     first = F.min(F.struct(F.col(id_col).alias("i"), F.col("text").alias("t"))).getField("t")
+    rate = []
+    if "audio" in df.columns and isinstance(kind := df.schema["audio"].dataType, T.StructType) and "sampling_rate" in kind.names:
+        rate = [F.min(F.struct(F.col(id_col).alias("i"), F.col("audio.sampling_rate").alias("r"))).getField("r").alias("sampling_rate")]
     return df.groupBy("subset", "split").agg(
-        F.count("*").alias("num_samples"), F.concat(F.substring(first, 1, 100), F.lit("...")).alias("sample_text")
-    ).withColumn("features", F.lit(",".join(df.columns)))
+        F.count("*").alias("num_samples"), *rate, F.concat(F.substring(first, 1, 100), F.lit("...")).alias("sample_text")
+    ).withColumn("features", F.lit(",".join(c for c in df.columns if c not in ("subset", "split"))))

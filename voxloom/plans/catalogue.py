@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corruptions, curation, files, running, scores, texts  # noqa: F401
+from . import corruptions, curation, files, running, scores, shapes, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

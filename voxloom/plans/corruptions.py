@@ -17,7 +17,7 @@ def _draw(what: str, below: str) -> str:
 
 
 _BASE = f"""(SELECT sample_index, text, w, n, ({_FILL})[{_draw('word', str(len(FILLERS)))} + 1] AS word, {_draw('at', 'n')} AS k, {_draw('at', 'n + 1')} AS p,
-{_draw('half', '2')} AS half, {_draw('begin', 'n - 2')} AS b, {_draw('strategy', str(len(STRATEGIES)))} AS s FROM (SELECT sample_index, text, {sql_words('text')} AS w, len({sql_words('text')}) AS n FROM unified))"""
+{_draw('half', '2')} AS half, {_draw('begin', 'n - 1')} AS b, {_draw('strategy', str(len(STRATEGIES)))} AS s FROM (SELECT sample_index, text, {sql_words('text')} AS w, len({sql_words('text')}) AS n FROM unified))"""
 
 
 def _corrupt_sql(strategy: str, words: str, correct: str) -> str:
@@ -51,7 +51,7 @@ def corrupt_half(spark, folder):
     return _corrupted(spark, folder, "half")
 
 
-_LEN = f"least(3 + ({sql_hash('sample_index', repr('length'))} % greatest(n - b - 2, 1)), n - b)"
+_LEN = f"2 + {sql_hash('sample_index', repr('length'))} % (n - b - 1)"  # b is at most n - 2
 _KEY = sql_hash("sample_index", "'order'", "i")
 
 

@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scoring import band
+from ..functions.text import norm_key
 from ..operators import report
 from ..sources import readers, trainlog, writers
-from ..storage import shared_dir
+from ..storage import place
 from ..streaming import online
 from .registry import query, sql_key, table
 from .running import epochs
 
 
-def _place(spark, label: str) -> str:
-    return f"{shared_dir(spark)}/voxloom-{label}-{uuid.uuid4().hex}"
-
-
 @query("""SELECT band, count(*) AS rows, count(DISTINCT sample_index) AS samples FROM (SELECT sample_index, CASE WHEN isnan(similarity) THEN NULL WHEN similarity > 0.8 THEN 'high'
 WHEN similarity >= 0.5 THEN 'medium' WHEN similarity < 0.5 THEN 'low' END AS band FROM scores) WHERE band IS NOT NULL GROUP BY 1""")
 def bands_round_trip(spark, folder):
     """Band files written in one pass and read again."""
-    path = _place(spark, "bands")
+    path = place(spark, "bands")
     s = table(spark, folder, "scores").select("sample_index", "text", band(F.col("similarity")).alias("band"))
     writers.save_bands(s, path)
     back = readers.read_record_lines(spark, path, "sample_index bigint, text string, band string")
@@ -33,27 +29,22 @@ def bands_round_trip(spark, folder):
 @query("SELECT split, count(*) AS rows, CAST(sum(sample_index) AS BIGINT) AS ids FROM unified WHERE split IN ('validation', 'test') GROUP BY 1")
 def splits_round_trip(spark, folder):
     """Split folders written, and single splits read by partition."""
-    path = _place(spark, "splits")
+    path = place(spark, "splits")
     u = table(spark, folder, "unified").where(F.col("split").isNotNull()).select("sample_index", "text", "split")
     writers.save_splits(u, path)
     two = readers.load_table(spark, path, split="validation").unionByName(readers.load_table(spark, path, split="test"))
     return two.groupBy("split").agg(F.count("*").alias("rows"), F.sum("sample_index").alias("ids"))
 
 
-@query("SELECT sample_index, split FROM unified WHERE split = 'test' AND sample_index < 100")
-def split_slice(spark, folder):
-    return readers.load_table(spark, f"{folder}/unified.parquet", split="test[:100]").select("sample_index", "split")
-
-
 @query("SELECT sample_index, split FROM unified WHERE split = 'test' ORDER BY sample_index LIMIT 100")
-def split_first(spark, folder):
+def split_slice(spark, folder):
     """The first 100 rows of a split by their position in it."""
-    return readers.first_of_split(spark, f"{folder}/unified.parquet", "test[:100]").select("sample_index", "split")
+    return readers.load_table(spark, f"{folder}/unified.parquet", split="test[:100]").select("sample_index", "split")
 
 
 @query("SELECT filename, file_size FROM audio_files")
 def csv_round_trip(spark, folder):
-    path = _place(spark, "csv")
+    path = place(spark, "csv")
     writers.save_csv(table(spark, folder, "audio_files"), path)
     return readers.read_csv(spark, path, "filename string, file_size bigint")
 
@@ -84,63 +75,68 @@ _FIRST = "(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY
 
 @query(f"""SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01')) AS BIGINT) AS day, count(*) AS calls, count(*) FILTER (ok) AS ok_calls, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens FROM {_FIRST} GROUP BY 1""")
 def stream_call_rates(spark, folder):
-    """A stream over the calls' files: deduplicated, windowed by event time, run until all is read."""
+    """A stream over the calls' files: deduplicated within four days, windowed by event time, run until all is read."""
     source = table(spark, folder, "api_calls")
     at = F.col("ts").cast("timestamp")
     calls = spark.readStream.schema(source.schema).parquet(_as_folder(spark, source, "calls")).withColumn("ts", at)
-    once = calls.withWatermark("ts", "400 days").dropDuplicates(["call_id"])
-    rates = online.call_rates(once, window="1 day", late=None)
-    out = _run(rates, "complete", _place(spark, "rates"), spark)
+    once = calls.withWatermark("ts", "4 days").dropDuplicatesWithinWatermark(["call_id"])
+    out = _last_of(online.call_rates(once, window="1 day", late=None), "window_start", spark)
     return out.select(F.unix_seconds("window_start").alias("day"), "calls", "ok_calls", "input_tokens")
 
 
 def _as_folder(spark, df, label: str) -> str:
-    path = _place(spark, label)
+    path = place(spark, label)
     df.write.parquet(path)
     return path
 
 
-def _run(stream, mode: str, place: str, spark):
-    """Run a stream over what is there, each micro-batch to its own folder; the rows of the last one (complete) or of all."""
+def _last_of(stream, key: str, spark):
+    """Run a stream of updates over what is there; the last row of each key. Windows beyond the watermark leave the state."""
+    to = place(spark, "updates")
 
     def save(batch, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/out/batch={number if mode == 'append' else 0}")
+        batch.write.mode("overwrite").parquet(f"{to}/out/batch={number}")
 
-    q = (
-        stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{place}/out").select(*stream.columns)
-
-
-@query(f"SELECT count(DISTINCT {sql_key('text')}) AS sentences FROM synthetic_audio WHERE text IS NOT NULL")
-def stream_first_seen(spark, folder):
-    """The first occurrence of each sentence on a stream."""
-    source = table(spark, folder, "synthetic_audio").where(F.col("text").isNotNull()).select("audio_id", "text", F.col("created_at").cast("timestamp").alias("ts"))
-    stream = spark.readStream.schema(source.schema).parquet(_as_folder(spark, source, "spoken"))
-    first = online.unique_sentences(stream, "text", within="400 days")
-    return _run(first, "append", _place(spark, "first"), spark).agg(F.count("*").alias("sentences"))
+    stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start().awaitTermination()
+    every = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{to}/out")
+    rest = [c for c in stream.columns if c != key]
+    return every.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, "r.*")
 
 
-@query("SELECT voice, least(count(*), 20) AS accepted FROM synthetic_audio WHERE voice IS NOT NULL GROUP BY 1")
-def stream_quota(spark, folder):
-    """At most 20 rows a voice from a stream; the state is one counter a voice."""
-    source = table(spark, folder, "synthetic_audio").where(F.col("voice").isNotNull()).select("voice", F.col("audio_id").alias("arrival"))
-    stream = spark.readStream.schema(source.schema).parquet(_as_folder(spark, source, "voices"))
-    quotas = _Same(20)
-    taken = online.accept_up_to(stream, "voice", quotas)
-    return _run(taken, "append", _place(spark, "quota"), spark).groupBy("voice").agg(F.count("*").alias("accepted"))
-
+def _spoken(spark, folder, *columns):
+    source = table(spark, folder, "synthetic_audio").select("audio_id", *columns)
+    return spark.readStream.schema(source.schema).parquet(_as_folder(spark, source, "spoken"))
 
-class _Same(dict):
-    """A quota that is the same for every bucket."""
 
-    def __init__(self, n: int) -> None:
-        super().__init__()
-        self.n = n
+@query(f"""SELECT min(audio_id) AS audio_id, {sql_key('text')} AS sentence FROM synthetic_audio WHERE text IS NOT NULL GROUP BY 2""")
+def stream_first_seen(spark, folder):
+    """The first occurrence of each sentence on a stream, at any distance in time."""
+    to = place(spark, "first")
+    online.keep_first_seen(_spoken(spark, folder, "text"), norm_key(F.col("text")), ["audio_id"], f"{to}/out", f"{to}/state").awaitTermination()
+    return spark.read.schema("audio_id bigint, text string").parquet(f"{to}/out").select("audio_id", norm_key(F.col("text")).alias("sentence"))
 
-    def get(self, key, default=None):
-        return self.n
 
-    def __reduce__(self):
-        return (_Same, (self.n,))
+@query("""SELECT audio_id, voice FROM (SELECT audio_id, voice, row_number() OVER (PARTITION BY voice ORDER BY audio_id) AS rn FROM synthetic_audio WHERE voice IS NOT NULL) WHERE rn <= 20""")
+def stream_quota(spark, folder):
+    """The first 20 rows a voice of a stream."""
+    to = place(spark, "quota")
+    online.accept_up_to(_spoken(spark, folder, "voice"), "voice", ["audio_id"], 20, f"{to}/out", f"{to}/state").awaitTermination()
+    return spark.read.schema("audio_id bigint, voice string").parquet(f"{to}/out").select("audio_id", "voice")
+
+
+@query("SELECT generation_status, count(*) AS rows FROM synthetic_audio GROUP BY 1")
+def stream_saved(spark, folder):
+    """Results appended to a folder as they come."""
+    to = place(spark, "progress")
+    online.save_progress(_spoken(spark, folder, "generation_status"), f"{to}/out", f"{to}/state").awaitTermination()
+    return spark.read.schema("audio_id bigint, generation_status string").parquet(f"{to}/out").groupBy("generation_status").agg(F.count("*").alias("rows"))
+
+
+@query("SELECT count(*) AS shown FROM synthetic_audio")
+def stream_dashboard(spark, folder):
+    """The rows that a throttled dashboard was handed in all."""
+    to, shown = place(spark, "dashboard"), []
+    q = online.dashboard(_spoken(spark, folder, "voice"), lambda batch, n: shown.append(batch.count()), f"{to}/state", "1 second")
+    q.processAllAvailable()
+    q.stop()
+    return spark.range(1).select(F.lit(sum(shown)).cast("bigint").alias("shown"))

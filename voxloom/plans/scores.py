@@ -10,7 +10,7 @@ from ..functions import scoring as sc
 from ..functions.keys import once
 from ..operators import report
 from ..operators.scorer import filter_by_score, pool_groups, score_batches, verify
-from .registry import query, table
+from .registry import SETTINGS, query, table
 
 
 def pairs(spark, folder):
@@ -27,7 +27,7 @@ def negatives(spark, folder):
 
 
 def prob():
-    return sc.probability(sc.cosine(F.col("embedding"), F.col("other")))
+    return sc.readable(sc.cosine(F.col("embedding"), F.col("other")), "prob", SETTINGS.temperature)
 
 
 COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))"
@@ -41,7 +41,7 @@ CAST(0.8 AS DOUBLE) AS threshold, round(avg(s), 6) AS mean, round(median(s), 6)
 count(*) FILTER (s >= 0.8) AS high_quality, count(*) FILTER (s >= 0.5 AND s < 0.8) AS medium_quality, count(*) FILTER (s < 0.5) AS low_quality FROM p""")
 def quality_filter_stats(spark, folder):
     """The flagship: score pairs, filter and summarise in one pass."""
-    stats = report.filter_statistics(pairs(spark, folder), prob())
+    stats = report.filter_statistics(pairs(spark, folder), prob(), SETTINGS.threshold)
     return stats.select([F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in stats.dtypes])
 
 
@@ -54,9 +54,9 @@ def threshold_filter(spark, folder):
 round(least(greatest((0.1 * ln((1 / (1 + exp(-cos / 0.1))) / (1 - 1 / (1 + exp(-cos / 0.1)))) + 1) / 2, 0), 1), 6) AS back FROM {PAIRS}""")
 def score_scales(spark, folder):
     p = pairs(spark, folder).select("vec_id", once(sc.cosine(F.col("embedding"), F.col("other"))).alias("c"))
-    q = sc.probability(F.col("c"))
+    q = sc.readable(F.col("c"), "prob")
     return p.select(
-        "vec_id", F.round("c", 6).alias("cos"), F.round(sc.unit_scale(F.col("c")), 6).alias("unit"), F.round(q, 6).alias("prob"),
+        "vec_id", F.round("c", 6).alias("cos"), F.round(sc.readable(F.col("c")), 6).alias("unit"), F.round(q, 6).alias("prob"),
         F.round(sc.unit_from_probability(q), 6).alias("back"),
     )
 
@@ -249,19 +249,16 @@ def cosine_scorer(batch: pd.DataFrame) -> pd.DataFrame:
 
 @query(f"SELECT vec_id, round((cos + 1) / 2, 6) AS similarity, 'scored' AS status FROM {PAIRS}")
 def batch_scores(spark, folder):
-    s = score_batches(pairs(spark, folder), cosine_scorer, ["embedding", "other"], "vec_id")
+    s = score_batches(pairs(spark, folder), cosine_scorer, ["embedding", "other"], carry=["vec_id"])
     return s.select("vec_id", F.round("similarity", 6).alias("similarity"), "status")
 
 
-@query("""WITH t AS (SELECT label, vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings),
-k AS (SELECT label, min(vec_id) AS first, max(vec_id) AS last FROM embeddings GROUP BY 1)
-SELECT k.label, t.i AS dim, round(avg(CAST(x AS DOUBLE)), 6) AS mean_pooled FROM k JOIN t ON t.vec_id IN (k.first, k.last) GROUP BY 1, 2""")
+@query("""SELECT label, i AS dim, round(avg(CAST(x AS DOUBLE)), 6) AS mean_pooled
+FROM (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2""")
 def pooled_vectors(spark, folder):
-    """Each label's first and last vector as two tokens of a text, mean-pooled, dimension by dimension."""
-    e = table(spark, folder, "embeddings")
-    ends = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("a"), F.max_by("embedding", "vec_id").alias("b"))
-    pooled = sc.mean_pool(F.array("a", "b"), F.array(F.lit(1), F.lit(1)))
-    return ends.select("label", F.posexplode(pooled).alias("dim", "mean_pooled")).withColumn("mean_pooled", F.round("mean_pooled", 6))
+    """All vectors of each label as tokens of a text, mean-pooled, dimension by dimension."""
+    pooled = pool_groups(table(spark, folder, "embeddings"), ["label"], "embedding", F.lit(True))
+    return pooled.withColumn("mean_pooled", F.round("mean_pooled", 6))
 
 
 @query("""WITH t AS (SELECT label, vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings)

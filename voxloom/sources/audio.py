@@ -34,7 +34,23 @@ def resample(samples: np.ndarray, rate: int, wanted: int) -> np.ndarray:
 
 def load_audio(spark: SparkSession, folder: str, pattern: str = "*.wav", decoder: Decoder = decode_wav, rate: int | None = 16_000) -> DataFrame:
     """(filename, array, sampling_rate, error) of files; one that can't be decoded has an error and null samples."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(F.substring_index("path", "/", -1).alias("filename"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return decode_audio(files.select(F.substring_index("path", "/", -1).alias("filename"), "content"), decoder, rate)
+
+
+def encode_wav(samples: np.ndarray, rate: int) -> bytes:
+    """16-bit PCM of one channel, samples beyond [-1, 1] clipped."""
+    data = io.BytesIO()
+    with wave.open(data, "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(2)
+        f.setframerate(rate)
+        f.writeframes((np.clip(np.asarray(samples, np.float64), -1, 1) * 32767).astype("<i2").tobytes())
+    return data.getvalue()
+
+
+def decode_audio(files: DataFrame, decoder: Decoder = decode_wav, rate: int | None = 16_000) -> DataFrame:
+    """As :func:`load_audio`, of (filename, content)."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -47,4 +63,4 @@ def load_audio(spark: SparkSession, folder: str, pattern: str = "*.wav", decoder
                     out.append((name, None, None, f"{type(e).__name__}: {e}"[:200]))
             yield pd.DataFrame(out, columns=["filename", "array", "sampling_rate", "error"]).astype({"sampling_rate": "Int32"})
 
-    return files.mapInPandas(decode, AUDIO)
+    return files.select("filename", "content").mapInPandas(decode, AUDIO)

@@ -16,7 +16,7 @@ from ..operators.spread import within_goal
 def load_table(spark: SparkSession, path: str, subset: str | None = None, split: str | None = None, id_col: str = "sample_index") -> DataFrame:
     """A Parquet table; a subset or split is a partition filter, ``split`` may be a slice such as 'test[:10]'.
 
-    A slice keeps ids below the bound: positions are a stored column, as rows have no order.
+    A slice keeps the split's first rows in the order of ``id_col``, which is unique: rows have no order of their own.
     """
     df = spark.read.parquet(path)
     if subset is not None:
@@ -25,10 +25,17 @@ def load_table(spark: SparkSession, path: str, subset: str | None = None, split:
         name, bound = split_slice(split)
         df = df.where(F.col("split") == name)
         if bound is not None:
-            df = df.where(F.col(id_col) < bound)
+            df = first_rows(df, id_col, bound)
     return df
 
 
+def first_rows(df: DataFrame, id_col: str, most: int) -> DataFrame:
+    """The first ``most`` rows in the order of ``id_col``, which is unique; all if there are fewer, none for 0."""
+    every = df.withColumn("_every", F.lit(0))
+    goal = df.sparkSession.range(1).select(F.lit(0).alias("_every"), F.lit(most).cast("bigint").alias("goal"))
+    return within_goal(every, ["_every"], [id_col], goal, few=True).drop("_every")
+
+
 def split_slice(spec: str) -> tuple[str, int | None]:
     """'test' or 'test[:10]' as (name, bound)."""
     m = re.fullmatch(r"(\w+)(?:\[:(\d+)\])?", spec)
@@ -37,15 +44,6 @@ def split_slice(spec: str) -> tuple[str, int | None]:
     return m[1], int(m[2]) if m[2] else None
 
 
-def first_of_split(spark: SparkSession, path: str, spec: str, id_col: str = "sample_index") -> DataFrame:
-    """A split of a Parquet table; of a slice such as 'test[:10]' its first ten rows in the order of ``id_col``, which is unique."""
-    name, bound = split_slice(spec)
-    rows = spark.read.parquet(path).where(F.col("split") == name)
-    if bound is None:
-        return rows
-    return within_goal(rows, ["split"], [id_col], spark.range(1).select(F.lit(name).alias("split"), F.lit(bound).cast("bigint").alias("goal")), few=True)
-
-
 def first_readable(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """The first path that is a readable Parquet table; the last error if none is."""
     error: Exception = ValueError("no path given")

@@ -31,6 +31,17 @@ def save_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def save_scores(df: DataFrame, path: str, id_col: str, score: str) -> None:
+    """Raw scores as (id, score), in files of ranges of the id."""
+    df.select(id_col, score).repartitionByRange(id_col).sortWithinPartitions(id_col).write.mode("overwrite").parquet(path)
+
+
+def save_record_array(df: DataFrame, path: str, order: Sequence[str]) -> None:
+    """A small result as one file with a JSON array of records, in order."""
+    one = df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in order])))).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path)
+
+
 def save_small_csv(df: DataFrame, path: str, order: Sequence[str]) -> None:
     """A small result as one sorted CSV file."""
     df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

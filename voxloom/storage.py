@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of sessions that are deleted when their JVM ends.
+_MARKED: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, or the directory set on the context.
@@ -30,13 +33,61 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def session_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder; it is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/voxloom-{spark.sparkContext.applicationId}"
+    if path not in _MARKED:
+        files, at = _files(spark, path)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _MARKED.add(path)
+    return path
+
+
+def place(spark: SparkSession, label: str) -> str:
+    """A new path in the session's folder."""
+    return f"{session_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _files(spark, path)
+    return files.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = _files(spark, path)
+    files.delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results not yet read or written are lost."""
+    path = session_dir(spark)
+    remove(spark, path)
+    _MARKED.discard(path)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back.
 
     The result has no lineage beyond its files, so a lost executor costs no
-    recomputation, and later reads prune columns and rows.
+    recomputation, and later reads prune columns and rows. The table stays until it is
+    discarded, the session's tables are released, or the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/voxloom-{label}-{uuid.uuid4().hex}"
+    path = place(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`cut` that no unfinished result reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table._cut_at)
