@@ -16,6 +16,8 @@ from voxloom.functions.edits import distances
 from voxloom.llm import fmindex, labels, language, leaks, lookalike, mixing, overlap
 from voxloom.operators import spread
 
+from .sentences import SENTENCES, documents
+
 
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
@@ -403,3 +405,99 @@ def test_long_labelled_documents_are_sampled(spark):
     assert {r["doc_id"]: r["lang"] for r in language.language_stretches(only).collect()} == {i: lang for i, t, lang in docs if len(t) > 8000}
     assert all(len(language.excerpt(t[10000:])) <= language.SAMPLE_CHARS and language.excerpt(t[10000:]).endswith(".") for t in long["de"])
     assert len(language.excerpt("word " * 3000)) == language.SAMPLE_CHARS and len(language.excerpt("x" * 9000)) == language.SAMPLE_CHARS
+
+
+def every_division(bits):
+    """The least cost of all divisions into stretches of two units at least, each in one language, neighbours in different ones."""
+    count, width = bits.shape
+    cost = language.change_bits(count, width)
+    best = {}  # (units done, language of the last stretch) -> cost
+
+    def least(done, last):
+        if done == count:
+            return 0.0
+        if (done, last) not in best:
+            options = [np.inf]
+            for end in range(done + 2, count + 1):
+                for lang in range(width):
+                    if lang != last:
+                        options.append(bits[done:end, lang].sum() + (cost if done else 0.0) + least(end, lang))
+            best[done, last] = min(options)
+        return best[done, last]
+
+    return bits.sum() if count == 1 else least(0, -1)
+
+
+def test_stretches_are_the_cheapest():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        bits = rng.exponential(12.0, (int(rng.integers(2, 9)), 3))
+        found = language.stretches(bits)
+        assert found[0][0] == 0 and found[-1][1] == len(bits) and all(a[1] == b[0] and a[2] != b[2] for a, b in zip(found, found[1:]))
+        assert all(b - a >= 2 for a, b, _ in found) or len(found) == 1
+        cost = sum(bits[a:b, lang].sum() for a, b, lang in found) + language.change_bits(*bits.shape) * (len(found) - 1)
+        assert cost == pytest.approx(every_division(bits))
+
+
+def test_code_lengths_by_counting():
+    """Each byte's cost from the counts of its contexts, the longest first, escapes by the number of different bytes seen."""
+    words = Counter("de hond ziet de andere hond bij het huis hondje".split())
+    trees = language.ContextTrees({"nl": words, "en": Counter(["the", "dog"])})
+    seen = defaultdict(Counter)
+    for w, times in words.items():
+        coded = f" {w} ".encode()
+        for at in range(1, len(coded)):
+            for k in range(min(language.ORDER, at) + 1):
+                seen[coded[at - k : at]][coded[at]] += times
+
+    def cost(coded, at):
+        bits = 0.0
+        for k in range(min(language.ORDER, at), -1, -1):
+            here = seen.get(coded[at - k : at])
+            if here:
+                n, q = sum(here.values()), len(here)
+                if coded[at] in here:
+                    return bits + np.log2((n + q) / here[coded[at]])
+                bits += np.log2((n + q) / q)
+        return bits + 8.0
+
+    for w in ("hond", "hondenhok", "zien", "é", "xyz"):
+        coded = f" {w} ".encode()
+        assert trees.word_bits(w)[trees.languages.index("nl")] == pytest.approx(sum(cost(coded, at) for at in range(1, len(coded))), rel=1e-5)
+
+
+@pytest.fixture(scope="module")
+def fitted_trees(spark):
+    """The model of the labelled documents of a table that no sentence below is taken from."""
+    return language.fitted(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "text", "lang", "doc_id")
+
+
+def divided(trees, texts):
+    units = [language.units_of(t) for t in texts]
+    scorer = language.Scorer(trees)
+    for mine, bits in zip(units, scorer.units(units), strict=True):
+        yield [(a, b, trees.languages[k], language.confidence(bits[a:b].sum(axis=0), k, trees.temper)) for a, b, k in language.stretches(bits)]
+
+
+@pytest.mark.parametrize("pair", [("es", "pt"), ("nl", "de"), ("en", "nl"), ("fr", "es"), ("de", "en"), ("pt", "fr")])
+def test_invented_documents(fitted_trees, pair):
+    """Recall and precision of stretches with exact borders, in documents of two languages made of invented sentences."""
+    hit = wanted = got = 0
+    for shape in ((2, 2), (3, 3), (2, 2, 2), (5, 2, 4), (6, 3), (8,)):
+        made = documents(pair, shape, 40)
+        for (_, parts), found in zip(made, divided(fitted_trees, [t for t, _ in made]), strict=True):
+            ends = np.cumsum([n for _, n in parts])
+            truth = {(int(e) - n, int(e), lang) for e, (lang, n) in zip(ends, parts, strict=True)}
+            hit += len(truth & {x[:3] for x in found})
+            wanted, got = wanted + len(truth), got + len(found)
+    assert hit / wanted >= 0.9 and hit / got >= 0.9
+
+
+def test_confidence_is_a_frequency(fitted_trees):
+    """Of single invented sentences about as many have the found language as the confidence says."""
+    lone = [(lang, s) for lang, every in SENTENCES.items() for s in every]
+    sure = [(found[0][3], found[0][2] == lang) for (lang, _), found in zip(lone, divided(fitted_trees, [s for _, s in lone]), strict=True)]
+    assert abs(np.mean([c for c, _ in sure]) - np.mean([ok for _, ok in sure])) <= 0.06
+    low = [ok for c, ok in sure if c < 0.9]
+    high = [ok for c, ok in sure if c >= 0.9]
+    assert np.mean(high) >= 0.9 and (not low or np.mean(low) < np.mean(high))

@@ -20,11 +20,13 @@ from .labels import LANGUAGES, language_of_label
 #: Longest context in bytes.
 ORDER = 4
 #: The labelled sample the model is fitted on: documents of each language, and characters of each.
-SAMPLE_DOCUMENTS, SAMPLE_CHARS = 200, 8_000
+SAMPLE_DOCUMENTS, SAMPLE_CHARS = 400, 8_000
 #: Rounds in which sample documents and sentences that fit another language better than their label are left out.
 CLEANINGS = 1
-#: The odds of a language are 2 ** (bits / this), as words of a sentence aren't independent.
+#: The odds of a language are 2 ** (bits / temper), as words of a sentence aren't independent; the temper where none can be fitted.
 TEMPER_BITS = 8.0
+#: Tempers tried, and shares of sentences that aren't in their document's language.
+TEMPERS, STRAY = np.exp2(np.arange(0, 13) / 2), (0.001, 0.003, 0.01, 0.03, 0.1)
 #: Words that make a piece of text a sentence of its own even without a sentence end.
 LEAST_WORDS = 6
 #: Lines without sentence end, all as long as the width allows, that make a text wrapped rather than a list.
@@ -56,37 +58,43 @@ class ContextTrees:
     every known (context, byte) the costs in all languages are computed once, escapes resolved.
     """
 
-    def __init__(self, samples: dict[str, Counter]) -> None:
+    def __init__(self, samples: dict[str, Counter], temper: float = TEMPER_BITS) -> None:
+        self.temper = temper
         self.languages = [x for x in LANGUAGES if samples.get(x)]
-        trees: list[dict[bytes, Counter]] = []
+        grams: list[dict[bytes, int]] = []  # a context and the byte after it
+        sums: list[dict[bytes, tuple[int, int]]] = []  # of each context the symbols seen, and the different ones
         for language in self.languages:
-            tree: dict[bytes, Counter] = {}
+            seen: dict[bytes, int] = {}
             for word, times in samples[language].items():
                 coded = b" " + word.encode("utf-8", "replace") + b" "
                 for at in range(1, len(coded)):
-                    for k in range(min(ORDER, at) + 1):
-                        tree.setdefault(coded[at - k : at], Counter())[coded[at]] += times
-            trees.append(tree)
+                    for begin in range(max(0, at - ORDER), at + 1):
+                        gram = coded[begin : at + 1]
+                        seen[gram] = seen.get(gram, 0) + times
+            total: dict[bytes, tuple[int, int]] = {}
+            for gram, times in seen.items():
+                n, q = total.get(gram[:-1], (0, 0))
+                total[gram[:-1]] = (n + times, q + 1)
+            grams.append(seen)
+            sums.append(total)
         width = len(self.languages)
         escapes: dict[bytes, list[float]] = {}
-        costs: dict[bytes, list[float]] = {}
-        known = sorted({c for t in trees for c in t}, key=len)
-        for context in known:  # shorter contexts first, so that escapes are there
-            nodes = [t.get(context) for t in trees]
-            totals = [(sum(n.values()), len(n)) if n else (0, 0) for n in nodes]
+        for context in set().union(*sums):
+            totals = [t.get(context, (0, 0)) for t in sums]
             escapes[context] = [math.log2((n + q) / q) if q else 0.0 for n, q in totals]
-            for symbol in {s for n in nodes if n for s in n}:
-                below = None
-                row = []
-                for j, node in enumerate(nodes):
-                    if node and symbol in node:
-                        n, q = totals[j]
-                        row.append(math.log2((n + q) / node[symbol]))
-                    else:
-                        if below is None:
-                            below = self._back(costs, escapes, context, symbol, width)
-                        row.append(escapes[context][j] + below[j])
-                costs[context + bytes((symbol,))] = row
+        costs: dict[bytes, list[float]] = {}
+        for gram in sorted(set().union(*grams), key=len):  # shorter contexts first, so that their costs are there
+            context, row, below = gram[:-1], [], None
+            for j, seen in enumerate(grams):
+                times = seen.get(gram)
+                if times:
+                    n, q = sums[j][context]
+                    row.append(math.log2((n + q) / times))
+                else:
+                    if below is None:
+                        below = self._back(costs, escapes, context, gram[-1], width)
+                    row.append(escapes[context][j] + below[j])
+            costs[gram] = row
         self.cost_at = {gram: i for i, gram in enumerate(costs)}
         self.escape_at = {c: i for i, c in enumerate(escapes)}
         self.costs = np.array(list(costs.values()), np.float32).reshape(-1, width)
@@ -282,9 +290,23 @@ def stretches(bits: np.ndarray) -> list[tuple[int, int, int]]:
     return merged
 
 
-def confidence(bits: np.ndarray, chosen: int) -> float:
+def confidence(bits: np.ndarray, chosen: int, temper: float = TEMPER_BITS) -> float:
     """The share of the chosen language among all, by tempered code lengths."""
-    return float(1.0 / np.exp2(-(bits - bits[chosen]) / TEMPER_BITS).sum())
+    return float(1.0 / np.exp2(-(bits - bits[chosen]) / temper).sum())
+
+
+def fitted_temper(bits: np.ndarray, own: np.ndarray) -> float:
+    """The temper under which held-out sentences (sentences x languages) most likely have their documents' languages.
+
+    Together with it the share of stray sentences is chosen, so that a few of those don't flatten all odds.
+    """
+    best = (-math.inf, TEMPER_BITS)
+    for temper in TEMPERS:
+        odds = np.exp2(-(bits - bits.min(axis=1, keepdims=True)) / temper)
+        share = odds[np.arange(len(own)), own] / odds.sum(axis=1)
+        for stray in STRAY:
+            best = max(best, (float(np.log((1 - stray) * share + stray / bits.shape[1]).sum()), float(temper)))
+    return best[1]
 
 
 class Scorer:
@@ -330,34 +352,49 @@ def plain(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 
 
+def trees_of(sentences: list[tuple[str, list[str]]]) -> ContextTrees | None:
+    """Trees from (language, words), words also without their accents; None without any word."""
+    counts: dict[str, Counter] = {}
+    for lang, ws in sentences:
+        counts.setdefault(lang, Counter()).update(ws)
+    if not counts:
+        return None
+    for words in counts.values():
+        for word, times in list(words.items()):
+            if (bare := plain(word)) != word:
+                words[bare] += times
+    return ContextTrees(counts)
+
+
 def fit(rows: list[tuple[str, str]]) -> ContextTrees | None:
-    """Trees from (language, text), words also without their accents.
+    """Trees from (language, text).
 
-    Documents, and sentences, nearer to another language than their label are left out in turns.
+    Documents, and sentences, nearer to another language than their label are left out in turns. The temper of the
+    confidence comes from trees of every second document and the sentences of the others.
     """
     documents = [(lang, [ws for _, _, ws in units_of(text)]) for lang, text in rows]
-    kept, trees = [(lang, ws) for lang, sentences in documents for ws in sentences], None
-    for turn in range(CLEANINGS + 1):
-        counts: dict[str, Counter] = {}
-        for lang, ws in kept:
-            counts.setdefault(lang, Counter()).update(ws)
-        if not counts:
+    kept = [(lang, ws, k) for k, (lang, sentences) in enumerate(documents) for ws in sentences]
+    for _ in range(CLEANINGS):
+        trees = trees_of([x[:2] for x in kept])
+        if trees is None:
             return None
-        for words in counts.values():
-            for word, times in list(words.items()):
-                if (bare := plain(word)) != word:
-                    words[bare] += times
-        trees = ContextTrees(counts)
-        if turn < CLEANINGS:
-            scorer, kept = Scorer(trees), []
-            for lang, sentences in documents:
-                if lang not in trees.languages or not sentences:
-                    continue
-                own = trees.languages.index(lang)
-                bits = [scorer.bits(ws).sum(axis=0) for ws in sentences]
-                if int(np.sum(bits, axis=0).argmin()) == own:
-                    kept += [(lang, ws) for ws, x in zip(sentences, bits, strict=True) if int(x.argmin()) == own]
-    return trees
+        scorer, kept = Scorer(trees), []
+        for k, (lang, sentences) in enumerate(documents):
+            if lang not in trees.languages or not sentences:
+                continue
+            own = trees.languages.index(lang)
+            bits = [scorer.bits(ws).sum(axis=0) for ws in sentences]
+            if int(np.sum(bits, axis=0).argmin()) == own:
+                kept += [(lang, ws, k) for ws, x in zip(sentences, bits, strict=True) if int(x.argmin()) == own]
+    model = trees_of([x[:2] for x in kept])
+    half = trees_of([x[:2] for x in kept if x[2] % 2 == 0])
+    if half is not None and len(half.languages) > 1:
+        clean = {k for _, _, k in kept}
+        held = [(half.languages.index(lang), ws) for k, (lang, sentences) in enumerate(documents) if k % 2 and k in clean and lang in half.languages for ws in sentences]
+        if held:
+            scorer = Scorer(half)
+            model.temper = fitted_temper(np.array([scorer.bits(ws).sum(axis=0) for _, ws in held], np.float64), np.array([x for x, _ in held]))
+    return model
 
 
 def excerpt(text: str) -> str:
@@ -429,7 +466,7 @@ def language_stretches(
                     found = stretches(bits)
                     for k, (first, last, lang) in enumerate(found):
                         at.append(row)
-                        sure = confidence(bits[first:last].sum(axis=0), lang)
+                        sure = confidence(bits[first:last].sum(axis=0), lang, shared.value.temper)
                         for c, x in zip(cols, (k, len(found), names[lang], sure, mine[first][0], mine[last - 1][1]), strict=True):
                             c.append(x)
                 kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32())
