@@ -370,7 +370,7 @@ def fit(rows: list[tuple[str, str]]) -> ContextTrees | None:
     """Trees from (language, text).
 
     Documents, and sentences, nearer to another language than their label are left out in turns. The temper of the
-    confidence comes from trees of every second document and the sentences of the others.
+    confidence comes from trees of every second document and the sentences of those others that are in one language.
     """
     documents = [(lang, [ws for _, _, ws in units_of(text)]) for lang, text in rows]
     kept = [(lang, ws, k) for k, (lang, sentences) in enumerate(documents) for ws in sentences]
@@ -389,11 +389,16 @@ def fit(rows: list[tuple[str, str]]) -> ContextTrees | None:
     model = trees_of([x[:2] for x in kept])
     half = trees_of([x[:2] for x in kept if x[2] % 2 == 0])
     if half is not None and len(half.languages) > 1:
-        clean = {k for _, _, k in kept}
-        held = [(half.languages.index(lang), ws) for k, (lang, sentences) in enumerate(documents) if k % 2 and k in clean and lang in half.languages for ws in sentences]
-        if held:
-            scorer = Scorer(half)
-            model.temper = fitted_temper(np.array([scorer.bits(ws).sum(axis=0) for _, ws in held], np.float64), np.array([x for x, _ in held]))
+        scorer, bits, own = Scorer(half), [], []
+        for lang, sentences in documents[1::2]:
+            if lang not in half.languages or not sentences:
+                continue
+            here = np.array([scorer.bits(ws).sum(axis=0) for ws in sentences], np.float64)
+            if [x[2] for x in stretches(here)] == [half.languages.index(lang)]:  # as one of its label only
+                bits.append(here)
+                own += [half.languages.index(lang)] * len(here)
+        if bits:
+            model.temper = fitted_temper(np.concatenate(bits), np.array(own))
     return model
 
 
