@@ -511,3 +511,56 @@ def test_the_temper_is_found(temper):
     own = np.array([rng.choice(4, p=p) for p in odds / odds.sum(axis=1, keepdims=True)])
     own[:80] = rng.integers(0, 4, 80)  # strays
     assert temper / 1.5 <= language.fitted_temper(bits, own) <= temper * 1.5
+
+
+@pytest.mark.parametrize(
+    "a,b",
+    [
+        ("ⅼ", "l"), ("Ⅰ", "I"), ("օ", "o"), ("ո", "n"), ("ս", "u"), ("Ꭺ", "A"), ("ꓮꓲ", "AI"), ("ѵ", "v"), ("1∕2", "1/2"), ("Ⲟⲟ", "Oo"),
+        ("ö\u0338", "ø\u0308"), ("d\u0335", "đ"), ("L\u0337", "Ł"), ("i\u0307", "i"), ("ı\u0307", "i"), ("ȷ\u0307k", "jk"), ("ı\u0301", "í"),
+        ("а\u0301", "á"), ("o\u0338\u0301", "ǿ"), ("ｄ\u0335", "đ"), ("f\u200ci", "fi"), ("a\u200db", "ab"), ("ﻻ", "لا"), ("각", "\u1100\u1161\u11a8"),
+        ("سلام\u200c", "سلام"), ("ا\u200cب", "اب"), ("☃\ufe0f", "☃"), ("x\U000e0067y", "xy"),
+    ],
+)
+def test_one_look(a, b):
+    assert RUN(a) == RUN(b)
+
+
+@pytest.mark.parametrize("mark", "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2\U000110bd\U000110cd")
+def test_visible_format_marks_stay(mark):
+    assert mark in RUN(f"a{mark}b") and RUN(f"a{mark}b") != RUN("ab")
+
+
+@pytest.mark.parametrize(
+    "a,b",
+    [
+        ("می\u200cخواهم", "میخواهم"), ("क्\u200dष", "क्ष"), ("क्\u200cष", "क्ष"), ("ه\u200d", "ه"), ("👩\u200d💻", "👩💻"), ("i\u0307\u0301", "í"), ("o\u0338", "o"),
+        ("a\u202eb", "ab"), ("\U0001f3f4\U000e0067\U000e0062\U000e007f", "\U0001f3f4"), ("І", "l"), ("ӏ", "I"),
+    ],
+)
+def test_different_looks(a, b):
+    assert RUN(a) != RUN(b) and RUN(RUN(a)) == RUN(a)
+
+
+def test_the_longest_source_wins():
+    transducer = lookalike.transducer()
+    assert {len(s) for s in transducer.table} >= {1, 2, 3}
+    assert transducer.cluster("i\u0307\u0301") == "i\u0307\u0301" and transducer.cluster("i\u0307") == "i" and transducer.cluster("i") == "i"
+    with pytest.raises(ValueError):
+        transducer._add("А", "B")
+
+
+def test_classes_of_one_look(spark, monkeypatch):
+    """A form with most rows, many of one string: classes, links, and pairs in slices as without."""
+    texts = ["Аmstel"] * 40 + ["Amstel"] * 30 + ["Ａmstel"] + ["dag", "dаg", None, "", "\u200b"] + ["solo"] * 5
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, "dag", "x")], "id bigint, text string, _form string")
+    whole = rows(lookalike.same_look_pairs(df, "id", "text"))
+    expected = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and a and b and a != b and RUN(a) == RUN(b) != ""]
+    assert whole == sorted(expected, key=repr)
+    monkeypatch.setattr(spread, "HOT_LEAST", 5)
+    assert rows(lookalike.same_look_pairs(df, "id", "text")) == whole
+    found = {r["id"]: (r["class_id"], r["links"]) for r in lookalike.SameLook(df, "id", "text").classes().collect()}
+    degree = Counter(x for p in expected for x in p)
+    assert {i: n for i, (_, n) in found.items()} == degree
+    assert all(c == (0 if i < 71 else 71) for i, (c, _) in found.items())
+    assert lookalike.SameLook(df.limit(0), "id", "text").classes().count() == 0

@@ -96,6 +96,12 @@ def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.with_form(table(spark, folder, "synthetic_audio").select("audio_id", "text"), "text")
 
 
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of each row that looks like another, and how many rows it looks like."""
+    found = lookalike.SameLook(table(spark, folder, "synthetic_audio"), "audio_id", "text").classes()
+    return found.select(F.col("id").alias("audio_id"), "class_id", "links")
+
+
 def _spans(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_spans(table(spark, folder, "eval_items"), table(spark, folder, "documents"))
 
@@ -162,6 +168,7 @@ QUERIES: dict[str, Query] = {
         p4_shares,
         p5_found,
         p5_forms,
+        p5_classes,
         p6_found,
         p6_report,
         p7_found,
