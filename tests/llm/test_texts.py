@@ -564,3 +564,33 @@ def test_classes_of_one_look(spark, monkeypatch):
     assert {i: n for i, (_, n) in found.items()} == degree
     assert all(c == (0 if i < 71 else 71) for i, (c, _) in found.items())
     assert lookalike.SameLook(df.limit(0), "id", "text").classes().count() == 0
+
+
+def test_one_pass_over_all_blocks(spark, monkeypatch):
+    """Items of three blocks: one scan, one index a shard, and the same spans as one block; removals merge spans of several items."""
+    w = [f"w{i}" for i in range(60)]
+    items = spark.createDataFrame([(k, " ".join(w[6 * k : 6 * k + 12])) for k in range(6)], "item_id int, text string")
+    docs = spark.createDataFrame([(1, " ".join(w[:45])), (2, "x " + " ".join(w[2:13]) + " y " + " ".join(w[30:42]) + "."), (3, None)], "doc_id int, text string").repartition(2)
+    whole = rows(leaks.leaked_spans(items, docs))
+    assert whole
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 24)
+    got = leaks.leaked_spans(items, docs)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert rows(got) == whole
+    monkeypatch.setattr(leaks, "PASS_BLOCKS", 2)
+    twice = leaks.leaked_spans(items, docs)
+    assert twice._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2 and rows(twice) == whole
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    removed = [(r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]], r["items"]) for r in leaks.removal_spans(got).orderBy("doc_id", "start").collect()]
+    # the last item reaches beyond the first text, and eight of its words stand there
+    assert removed == [(1, " ".join(w[:42]), 6), (2, " ".join(w[2:12]), 1), (2, " ".join(w[30:42]), 1)]
+    assert leaks.removal_spans(got.limit(0)).count() == 0
+
+
+def test_members_of_overlaps(spark, monkeypatch):
+    texts = [("a b c d e", "train"), ("A b c, d e", "test"), ("a b c d f", "test"), ("x y", "train"), ("x y", None), ("", "test"), ("a b c d e", "test")]
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(texts)], "sample_index bigint, text string, split string")
+    expected = [(0, 0, "train", 0), (1, 0, "test", 1), (2, 2, "test", 1), (3, 3, "train", 0), (6, 0, "test", 1)]
+    assert rows(overlap.Overlaps(df).counted()) == expected
+    monkeypatch.setattr(spread, "HOT_LEAST", 1)
+    assert rows(overlap.Overlaps(df).counted()) == expected

@@ -9,29 +9,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from .fmindex import FMIndex
 from .words import WORD, words
 
-#: Evaluation words that one index pass takes at most; more items are taken in blocks.
+#: Evaluation words that one block of phrases takes at most (a longer item is one block).
 BLOCK_WORDS = 200_000
+#: Blocks searched in one pass over the corpus: they bound what a worker holds. More items take further passes.
+PASS_BLOCKS = 5
 #: Words of training text that one index holds at most (a longer document is one index).
 SHARD_WORDS = 1 << 19
 
 
 class Phrases:
-    """All phrases of ``width`` consecutive words of some items, as numbers."""
+    """All phrases of ``width`` consecutive words of some items, as numbers; ``number`` goes on through the blocks of a pass."""
 
-    def __init__(self, items: list[tuple], width: int) -> None:
-        self.width, self.number = width, {}
+    def __init__(self, items: list[tuple], width: int, number: dict[str, int]) -> None:
+        had = len(number)
         owners: dict[tuple, list[int]] = {}
         self.ids = [i for i, _ in items]
         for k, (_, text) in enumerate(items):
-            seen = [self.number.setdefault(w, len(self.number) + 1) for w in words(text or "")]
+            seen = [number.setdefault(w, len(number) + 1) for w in words(text or "")]
             for at in range(len(seen) - width + 1):
-                owners.setdefault(tuple(seen[at : at + width]), []).append(k)
-        self.patterns = np.array(list(owners), np.int64).reshape(-1, width)
-        self.owners = [sorted(set(x)) for x in owners.values()]
+                of = owners.setdefault(tuple(seen[at : at + width]), [])
+                if not of or of[-1] != k:
+                    of.append(k)
+        self.new = list(number)[had:]
+        self.patterns = np.array(list(owners), np.int32).reshape(-1, width)
+        self.counts = np.array([len(x) for x in owners.values()], np.int64)
+        self.owners = np.array([k for x in owners.values() for k in x], np.int32)
 
 
 def _candidate_runs(numbers: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,14 +64,14 @@ def _candidate_runs(numbers: np.ndarray, starts: np.ndarray, width: int) -> tupl
     return np.insert(numbers[keep], cuts, 0), np.insert(keep, cuts, -1)
 
 
-def _hits(texts: list[str | None], phrases: Phrases) -> Iterator[tuple[int, int, int, int]]:
-    """(row, item, first word, last word + 1) of merged stretches, shard by shard."""
-    get, number, width = phrases.number.get, phrases.number, phrases.width
+def _hits(texts: list[str | None], blocks: list[Phrases], number: dict[str, int], width: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, block, item, first word, last word + 1) of merged stretches, shard by shard."""
+    get = number.get
     parts: list[list[int]] = []
     docs: list[int] = []
     held = 0
 
-    def flush() -> Iterator[tuple[int, int, int, int]]:
+    def flush() -> Iterator[tuple[int, int, int, int, int]]:
         lengths = np.array([len(p) for p in parts], np.int64)
         starts = np.concatenate(([0], np.cumsum(lengths)))
         flat = np.fromiter((x for p in parts for x in p), np.int64, int(starts[-1]))
@@ -72,27 +79,26 @@ def _hits(texts: list[str | None], phrases: Phrases) -> Iterator[tuple[int, int,
         if not len(seq):
             return
         index = FMIndex(seq, len(number) + 1)
-        lo, hi = index.search(phrases.patterns)
-        some = np.flatnonzero(hi > lo)
-        if not len(some):
-            return
-        counts = (hi - lo)[some]
-        rows = np.repeat(lo[some], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        where = origin[index.locate(rows)]
-        doc = np.searchsorted(starts, where, side="right") - 1
-        found: dict[tuple[int, int], list[int]] = {}
-        for pattern, d, at in zip(np.repeat(some, counts).tolist(), doc.tolist(), (where - starts[doc]).tolist(), strict=True):
-            for item in phrases.owners[pattern]:
-                found.setdefault((docs[d], item), []).append(at)
-        for (row, item), places in found.items():
-            places.sort()
-            first, last = places[0], places[0] + width
-            for at in places[1:]:
-                if at > last:
-                    yield row, item, first, last
-                    first = at
-                last = at + width
-            yield row, item, first, last
+        for which, block in enumerate(blocks):
+            lo, hi = index.search(block.patterns)
+            some = np.flatnonzero(hi > lo)
+            if not len(some):
+                continue
+            counts = (hi - lo)[some]
+            where = origin[index.locate(_ranges(lo[some], counts))]
+            pattern = np.repeat(some, counts)
+            of = block.counts[pattern]
+            item = block.owners[_ranges((np.cumsum(block.counts) - block.counts)[pattern], of)]
+            doc = np.searchsorted(starts, where, side="right") - 1
+            at, doc = np.repeat(where - starts[doc], of), np.repeat(doc, of)
+            order = np.lexsort((at, item, doc))
+            at, doc, item = at[order], doc[order], item[order]
+            opens = np.ones(len(at), bool)
+            opens[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] > at[:-1] + width)
+            first = np.flatnonzero(opens)
+            last = np.append(first[1:], len(at)) - 1
+            for d, k, x, y in zip(doc[first].tolist(), item[first].tolist(), at[first].tolist(), (at[last] + width).tolist(), strict=True):
+                yield docs[d], which, k, x, y
 
     for row, text in enumerate(texts):
         if text is None:
@@ -110,6 +116,11 @@ def _hits(texts: list[str | None], phrases: Phrases) -> Iterator[tuple[int, int,
         yield from flush()
 
 
+def _ranges(start: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after another."""
+    return np.repeat(start, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple]]:
     """The items in blocks of at most BLOCK_WORDS words (or one item), read in order of id."""
     block, held = [], 0
@@ -124,6 +135,17 @@ def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple]]:
         yield block
 
 
+def _passes(items: DataFrame, item_id: str, text: str) -> Iterator[list[list[tuple]]]:
+    held: list[list[tuple]] = []
+    for block in _blocks(items, item_id, text):
+        held.append(block)
+        if len(held) == PASS_BLOCKS:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def leaked_spans(
     items: DataFrame,
     documents: DataFrame,
@@ -140,7 +162,8 @@ def leaked_spans(
     Each Arrow batch of documents is a shard with an FM-index of its words; all phrases of the items
     are searched backwards through wavelet-matrix ranks, located by sampled suffix
     positions and merged. Words that no item has end a stretch, so only runs of
-    known words that could hold a phrase are indexed. Items are a query set in blocks; each block is one pass.
+    known words that could hold a phrase are indexed. Items are a query set in blocks of bounded size; PASS_BLOCKS of
+    them are searched in one pass over the corpus, in one index.
     """
     id_type = documents.schema[doc_id].dataType.simpleString()
     item_type = items.schema[item_id].dataType.simpleString()
@@ -148,20 +171,23 @@ def leaked_spans(
     item_arrow = to_arrow_type(items.schema[item_id].dataType)
     docs = documents.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
     spark, out = documents.sparkSession, None
-    for block in _blocks(items, item_id, text):
-        shared = spark.sparkContext.broadcast(Phrases(block, width))
+    for blocks in _passes(items, item_id, text):
+        number: dict[str, int] = {}
+        shared = [spark.sparkContext.broadcast(Phrases(b, width, number)) for b in blocks]
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            phrases = shared.value
+            held = [b.value for b in shared]
+            number = {w: i for i, w in enumerate((w for b in held for w in b.new), 1)}
             for batch in batches:
                 texts, ids = batch.column(1).to_pylist(), batch.column(0)
                 rows, cols = [], ([], [], [], [])
                 places: dict[int, list[tuple[int, int]]] = {}
-                for row, item, first, last in _hits(texts, phrases):
+                for row, block, item, first, last in _hits(texts, held, number, width):
                     if row not in places:
                         places[row] = _offsets(texts[row])
                     rows.append(row)
-                    for c, x in zip(cols, (phrases.ids[item], places[row][first][0], places[row][last - 1][1], last - first), strict=True):
+                    found = (held[block].ids[item], places[row][first][0], places[row][last - 1][1], last - first)
+                    for c, x in zip(cols, found, strict=True):
                         c.append(x)
                 if rows:
                     yield pa.RecordBatch.from_arrays(
@@ -176,6 +202,18 @@ def leaked_spans(
     return out.select(F.col("_item").alias(item_id), F.col("_doc").alias(doc_id), "start", "end", "words")
 
 
+def removal_spans(spans: DataFrame, item_id: str = "item_id", doc_id: str = "doc_id") -> DataFrame:
+    """(doc id, start, end, items): the stretches to remove from each document, spans of all items merged where they touch or overlap.
+
+    ``items`` is the number of items with a span in the stretch. A document's spans are sorted in one task.
+    """
+    order = Window.partitionBy(doc_id).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
+    numbered = spans.withColumn("_opens", opens).withColumn("_no", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(doc_id, "_no").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count_distinct(item_id).alias("items")).drop("_no")
+
+
 def _offsets(text: str) -> list[tuple[int, int]]:
     """Where each word stands; lower case can lengthen a text, so positions are traced back through it."""
     lowered = text.lower()

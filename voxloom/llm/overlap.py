@@ -330,3 +330,11 @@ class Overlaps:
             F.max(F.col("edits") == 0).alias("exact"), F.max(F.col("edits") > 0).alias("near"), F.count("*").alias("links")
         )
         return self.members.where(F.col("split") != self.train).join(per_class, "_cid").select("_id", "split", "exact", "near", "links")
+
+    def counted(self) -> DataFrame:
+        """(_id, _cid, split, links): every row with its class, evaluation rows with the number of training classes linked (else 0)."""
+        per_class = self.links.groupBy(F.col("_cid_e").alias("_cid")).agg(F.count("*").alias("_links"))
+        sized = per_class.join(self.classes.select("_cid", "_size"), "_cid")
+        held = spread_join(self.members, sized, ["_cid"], "_size", self.total, F.col("_id"), "left")
+        links = F.when(F.col("split") != self.train, F.coalesce("_links", F.lit(0))).otherwise(0).cast("bigint")
+        return held.select("_id", "_cid", "split", links.alias("links"))

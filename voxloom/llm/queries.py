@@ -114,6 +114,11 @@ def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
     return _spans(spark, folder)
 
 
+def p7_removals(spark: SparkSession, folder: str) -> DataFrame:
+    """The stretches of documents to remove, over all items."""
+    return leaks.removal_spans(_spans(spark, folder))
+
+
 def _overlaps(spark: SparkSession, folder: str) -> overlap.Overlaps:
     return overlap.Overlaps(table(spark, folder, "unified"))
 
@@ -122,6 +127,17 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return _overlaps(spark, folder).pairs().select("id_a", "id_b")
 
 
+def p6_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlaps between classes of equal word sequences, each named by its smallest id."""
+    links = _overlaps(spark, folder).links
+    return links.select(F.col("_cid_e").alias("class_held_out"), F.col("_cid_t").alias("class_train"), "edits")
+
+
+def p6_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Each row with its class, and for evaluation rows the number of training classes it overlaps."""
+    return _overlaps(spark, folder).counted().select(F.col("_id").alias("sample_index"), F.col("_cid").alias("class_id"), "split", "links")
+
+
 def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     """Evaluation rows that stand in training, exactly or almost, by split and source."""
     unified = table(spark, folder, "unified").select(
@@ -170,9 +186,12 @@ QUERIES: dict[str, Query] = {
         p5_forms,
         p5_classes,
         p6_found,
+        p6_links,
+        p6_members,
         p6_report,
         p7_found,
         p7_spans,
+        p7_removals,
         p8_selection,
         p8_shares,
         p9_found,

@@ -37,6 +37,49 @@ r AS (SELECT 'raw_records' AS t, record_id AS id, string_agg(lower(trim(k)) || '
 g AS (SELECT t, id, min(id) OVER (PARTITION BY t, f) AS k FROM (SELECT * FROM u WHERE f <> '' UNION ALL SELECT * FROM r))
 """
 
+_SPLITS = """
+WITH RECURSIVE u AS (SELECT sample_index, nullif(lower(trim(client_id)), '') AS c, nullif(nullif(lower(trim(voice)), ''), 'common_voice') AS v FROM unified),
+e AS (SELECT DISTINCT c, v FROM u WHERE c IS NOT NULL AND v IS NOT NULL),
+near AS (SELECT DISTINCT a.c AS x, b.c AS y FROM e a JOIN e b USING (v)),
+reach AS (SELECT x, y FROM near UNION SELECT reach.x, near.y FROM reach JOIN near ON reach.y = near.x),
+cc AS (SELECT x AS c, min(y) AS m FROM reach GROUP BY x), vv AS (SELECT v, min(m) AS vm FROM e JOIN cc USING (c) GROUP BY v),
+k AS (SELECT sample_index, CASE WHEN u.c IS NOT NULL THEN 'a:' || coalesce(cc.m, u.c) WHEN u.v IS NOT NULL THEN coalesce('a:' || vv.vm, 'b:' || u.v) ELSE '~:' || sample_index END AS component
+  FROM u LEFT JOIN cc ON cc.c = u.c LEFT JOIN vv ON vv.v = u.v),
+p AS (SELECT *, CAST(concat('0x', substr(md5('42#' || component), 1, 8)) AS BIGINT) / 4294967296.0 AS point FROM k),
+t AS (SELECT split, sum(share) AS share FROM split_targets WHERE share > 0 GROUP BY 1),
+r AS (SELECT split, sum(share) OVER (ORDER BY split) / (SELECT sum(share) FROM t) AS upto, row_number() OVER (ORDER BY split DESC) = 1 AS last FROM t),
+g AS (SELECT split, coalesce(lag(upto) OVER (ORDER BY split), 0) AS lo, CASE WHEN last THEN 2 ELSE upto END AS upto FROM r),
+assigned AS (SELECT p.sample_index, p.component, g.split FROM p JOIN g ON p.point >= g.lo AND p.point < g.upto)
+"""
+
+_LEAKS = r"""
+WITH item AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+ip AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 7), ' ') AS p FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM item WHERE len(w) >= 8)),
+part AS (SELECT doc_id, unnest(x) AS x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS x FROM documents WHERE text <> '')),
+placed AS (SELECT doc_id, x, i, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM part),
+word AS (SELECT doc_id, lower(x) AS x, upto - length(x) AS s, upto AS e, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM placed WHERE regexp_matches(x, '^[\p{L}\p{N}]')),
+doc AS (SELECT doc_id, list(x ORDER BY k) AS w, list(s ORDER BY k) AS s, list(e ORDER BY k) AS e FROM word GROUP BY 1 HAVING count(*) >= 8),
+dp AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM doc)),
+hit AS (SELECT item_id, doc_id, i FROM ip JOIN dp USING (p)),
+isle AS (SELECT *, sum(o) OVER (PARTITION BY item_id, doc_id ORDER BY i) AS isle FROM (
+  SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY item_id, doc_id ORDER BY i) + 8 THEN 1 ELSE 0 END AS o FROM hit)),
+span AS (SELECT item_id, doc_id, min(i) AS a, max(i) + 7 AS b FROM isle GROUP BY item_id, doc_id, isle),
+spans AS (SELECT item_id, doc_id, CAST(s[a] AS INTEGER) AS start, CAST(e[b] AS INTEGER) AS "end", CAST(b - a + 1 AS INTEGER) AS words FROM span JOIN doc USING (doc_id))
+"""
+
+_OVERLAPS = r"""
+WITH u AS (SELECT sample_index, split, lower(trim(coalesce(dataset_source, ''))) AS source, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM unified WHERE split IN ('train', 'validation', 'test')),
+m AS (SELECT sample_index, split, source, w, min(sample_index) OVER (PARTITION BY w) AS cid FROM u WHERE len(w) > 0),
+c AS (SELECT cid, any_value(list_transform(w, lambda x: CAST(hash(x) % 4611686018427387904 AS BIGINT))) AS w, any_value(len(w)) AS n, bool_or(split = 'train') AS t, bool_or(split <> 'train') AS e FROM m GROUP BY 1),
+b AS (SELECT cid, n, t, e, x, count(*) AS k FROM (SELECT cid, n, t, e, unnest(w) AS x FROM c) GROUP BY ALL),
+near AS (SELECT l.cid AS l, r.cid AS r FROM b l JOIN b r ON l.x = r.x AND l.e AND r.t AND l.cid <> r.cid AND abs(l.n - r.n) * 5 <= greatest(l.n, r.n)
+  GROUP BY ALL HAVING (greatest(any_value(l.n), any_value(r.n)) - sum(least(l.k, r.k))) * 5 <= greatest(any_value(l.n), any_value(r.n))),
+d AS (SELECT near.l, near.r, greatest(a.n, z.n) AS most, list_reduce(list_transform(a.w, lambda x: [x]), lambda row, x: list_reduce(list_transform(range(1, z.n + 1), lambda j: [j]),
+  lambda acc, j: list_append(acc, least(acc[-1] + 1, row[j[1] + 1] + 1, row[j[1]] + CASE WHEN z.w[j[1]] = x[1] THEN 0 ELSE 1 END)), [row[1] + 1]), range(0, z.n + 1))[-1] AS edits
+  FROM near JOIN c a ON a.cid = near.l JOIN c z ON z.cid = near.r),
+link AS (SELECT l, r, CAST(edits AS INTEGER) AS edits FROM d WHERE edits * 5 <= most UNION ALL SELECT cid, cid, 0 FROM c WHERE e AND t)
+"""
+
 ORACLES: dict[str, str] = {
     "p1_found": _LATEST + "SELECT o.sample_index FROM ok o JOIN cut c USING (model, voice) WHERE o.similarity >= c.cutoff",
     "p1_cutoffs": _LATEST
@@ -67,6 +110,20 @@ ip AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 7), ' ') AS
 dp AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 7), ' ') AS p
        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM doc WHERE len(w) >= 8))
 SELECT DISTINCT item_id, doc_id FROM ip JOIN dp USING (p)""",
+    "p7_spans": f'{_LEAKS} SELECT item_id, doc_id, start, "end", words FROM spans',
+    "p7_removals": f"""{_LEAKS}, o AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans),
+n AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS no FROM o)
+SELECT doc_id, min(start) AS start, max("end") AS "end", count(DISTINCT item_id) AS items FROM n GROUP BY doc_id, no""",
+    "p6_found": f"""{_OVERLAPS} SELECT DISTINCT least(a.sample_index, z.sample_index) AS id_a, greatest(a.sample_index, z.sample_index) AS id_b
+FROM link JOIN m a ON a.cid = link.l AND a.split <> 'train' JOIN m z ON z.cid = link.r AND z.split = 'train'""",
+    "p6_links": f"{_OVERLAPS} SELECT l AS class_held_out, r AS class_train, edits FROM link",
+    "p6_members": f"""{_OVERLAPS}, k AS (SELECT l AS cid, count(*) AS n FROM link GROUP BY 1)
+SELECT m.sample_index, m.cid AS class_id, m.split, CAST(CASE WHEN m.split <> 'train' THEN coalesce(k.n, 0) ELSE 0 END AS BIGINT) AS links FROM m LEFT JOIN k USING (cid)""",
+    "p6_report": f"""{_OVERLAPS}, k AS (SELECT l AS cid, bool_or(edits = 0) AS exact, bool_or(edits > 0) AS near FROM link GROUP BY 1)
+SELECT split, source AS dataset_source, count(*) FILTER (exact) AS exact_rows, count(*) FILTER (near) AS near_rows, count(*) AS overlapping_rows FROM m JOIN k USING (cid) WHERE split <> 'train' GROUP BY 1, 2""",
+    "p4_assigned": f"{_SPLITS} SELECT sample_index, component, split FROM assigned",
+    "p4_shares": f"""{_SPLITS} SELECT a.split, any_value(s.share) AS target_share, count(*) AS rows, count(DISTINCT a.component) AS components, count(*) / sum(count(*)) OVER () AS actual_share
+FROM assigned a LEFT JOIN split_targets s USING (split) GROUP BY a.split""",
     "p2_found": f"{_COPIES} SELECT t AS table_name, k AS keep_id, id AS copy_id FROM g WHERE id <> k",
     "p2_counts": f"{_COPIES} SELECT t AS table_name, k AS keep_id, count(*) AS copies FROM g GROUP BY t, k HAVING count(*) > 1",
     "p2_collapsed": f"""{_COPIES},
