@@ -594,3 +594,61 @@ def test_members_of_overlaps(spark, monkeypatch):
     assert rows(overlap.Overlaps(df).counted()) == expected
     monkeypatch.setattr(spread, "HOT_LEAST", 1)
     assert rows(overlap.Overlaps(df).counted()) == expected
+
+
+def templated(count, seed=1):
+    """Transcripts of ten templates of 20 words with eight slots of 50 words each; every 40th evaluation text repeats a training text but for two words."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(count):
+        t = rng.randrange(10)
+        words_ = [f"t{t}x{k}" for k in range(20)]
+        for slot in range(8):
+            words_.insert(2 * slot + 1, f"s{slot}y{rng.randrange(50)}")
+        out.append((i, " ".join(words_), "test" if i % 4 == 3 else "train"))
+        if i % 160 == 3:
+            words_ = out[i - 1][1].split()
+            words_[4] = words_[9] = "other"
+            out[i] = (i, " ".join(words_), "test")
+    return out
+
+
+def test_candidates_of_templates(spark):
+    """Twice as many templated texts give about twice as many candidates, and no link is lost."""
+    seen = []
+    for count in (400, 800):
+        data = templated(count)
+        found = overlap.Overlaps(spark.createDataFrame(data, "sample_index bigint, text string, split string"))
+        seen.append(found.candidates.count())
+        if count == 400:
+            assert set(rows(found.pairs().select("id_a", "id_b"))) == brute_overlaps(data)
+        assert found.links.count() >= count // 160
+    assert seen[1] <= 3 * seen[0] + 100 and seen[1] <= 800
+
+
+def test_hot_keys_are_sliced(spark, monkeypatch):
+    """A key that most texts share: the grid gives the pairs that one join gives."""
+    data = [(i, f"same rare words here {i % 7} and {i % 3}", "test" if i % 3 else "train") for i in range(60)]
+    df = spark.createDataFrame(data, "sample_index bigint, text string, split string")
+    whole = rows(overlap.Overlaps(df).pairs())
+    monkeypatch.setattr(overlap, "HOT_KEY", 2)
+    assert rows(overlap.Overlaps(df).pairs()) == whole and len(whole) > 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 300), min_size=4, max_size=30), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 29), st.integers(0, 300)), max_size=6))
+def test_marks_change_by_two_bits_an_edit(text, changes):
+    def marks(ws):
+        out = 0
+        for x in ws:
+            out ^= 1 << (hash((x, "w")) & 63)
+        return out
+
+    other = list(text)
+    for kind, at, word in changes:
+        at %= len(other) + 1
+        if kind == 0:
+            other.insert(at, word)
+        elif at < len(other):
+            other[at : at + 1] = [] if kind == 1 else [word]
+    assert (marks(text) ^ marks(other)).bit_count() <= 2 * int(distances([text], [other])[0])

@@ -9,14 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.edits import distances
 from ..functions.keys import once, word_line
 from ..operators.spread import hot_limit, spread_join
 from ..storage import cut
 
 #: Buckets of the word-frequency sketch: its size, and that of what is broadcast, is fixed.
 SKETCH = 1 << 20
-#: Bits of the map of evaluation shingles, and bytes of one of its blocks.
-MAP_BITS, MAP_BLOCK = 1 << 23, 1 << 14
+#: Bits of the map of evaluation shingles, eight a shingle between these bounds (64 MB at most), and bytes of one of its blocks.
+LEAST_BITS, MOST_BITS, MAP_BLOCK = 1 << 20, 1 << 29, 1 << 14
+#: Evaluation texts with one key above which its texts are joined in slices.
+HOT_KEY = 1_000
 #: A shingle expected in at most so many texts is rare enough to be a key.
 RARE = 0.3
 #: (least words, most words, most words of a shingle) of the length classes. They overlap by the
@@ -108,19 +111,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Word edit distances of two matrices of word numbers (pairs x words), row by row of the table."""
-    pairs, m = b.shape
-    row = np.broadcast_to(np.arange(m + 1), (pairs, m + 1)).copy()
-    along = np.arange(m + 1)
-    for i in range(a.shape[1]):
-        best = np.empty_like(row)
-        best[:, 0] = i + 1
-        best[:, 1:] = np.minimum(row[:, :-1] + (b != a[:, i : i + 1]), row[:, 1:] + 1)
-        row = np.minimum.accumulate(best - along, axis=1) + along
-    return row[:, -1]
-
-
 def _encoded(line: Column) -> Column:
     """One character for each word: words that differ may share one, so distances never grow."""
     chars = F.transform(
@@ -147,7 +137,11 @@ def _sketch(classes: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _keys(classes: DataFrame, shingles, bits=None) -> DataFrame:
-    """(_cid, key, n, place) of classes (_cid, _line); with ``bits`` only keys in that map."""
+    """(_cid, key, at, marks) of classes (_cid, _line); with ``bits`` only keys in that map.
+
+    ``at`` holds the number of words and the place of the key, ``marks`` a bit for each of 64 groups of words, set if an odd
+    number of the text's words are in the group: an edit changes two of them at most.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(bits.value, np.uint8) if bits is not None else None
@@ -158,45 +152,68 @@ def _keys(classes: DataFrame, shingles, bits=None) -> DataFrame:
             lists = batch.column(1)
             offsets = lists.offsets.to_numpy().astype(np.int64)
             hashes = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64)
-            text, key, n, place = maker.of(hashes, offsets - offsets[0])
+            offsets -= offsets[0]
+            text, key, n, place = maker.of(hashes, offsets)
             if known is not None:
-                bit = key.view(np.uint64) % np.uint64(MAP_BITS)
+                bit = key.view(np.uint64) % np.uint64(8 * len(known))
                 hit = (known[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 text, key, n, place = text[hit], key[hit], n[hit], place[hit]
+            marks = np.bitwise_xor.reduceat(np.uint64(1) << (hashes.view(np.uint64) >> np.uint64(58)), offsets[:-1]).view(np.int64)  # no text is without words
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(text)), pa.array(key), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))],
-                names=["_cid", "key", "n", "place"],
+                [batch.column(0).take(pa.array(text)), pa.array(key), pa.array((n.astype(np.int64) << 32) | (place & 0xFFFFFFFF)), pa.array(marks[text])],
+                names=["_cid", "key", "at", "marks"],
             )
 
     id_type = classes.schema["_cid"].dataType.simpleString()
-    return classes.select("_cid", _hashes().alias("_words")).mapInArrow(make, f"_cid {id_type}, key bigint, n int, place int")
+    return classes.select("_cid", _hashes().alias("_words")).mapInArrow(make, f"_cid {id_type}, key bigint, at bigint, marks bigint")
 
 
-def _key_map(keys: DataFrame) -> bytes:
-    """A bit map of the keys, merged block by block: its size doesn't depend on the data."""
+def _key_map(index: DataFrame) -> bytes:
+    """A bit map of the keys. Bits are brought together by block before they are merged, so no task holds or sends the whole map."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * index.count()).bit_length()))
+    bit = F.pmod(F.col("key"), F.lit(size))  # the low bits, as of an unsigned number
+    placed = index.select((bit / (8 * MAP_BLOCK)).cast("int").alias("block"), (bit % (8 * MAP_BLOCK)).cast("int").alias("bit"))
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(MAP_BITS // 8, np.uint8)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
         for batch in batches:
-            bit = batch.column(0).to_numpy().view(np.uint64) % np.uint64(MAP_BITS)
-            np.bitwise_or.at(seen, (bit >> np.uint64(3)).astype(np.int64), (1 << (bit & np.uint64(7))).astype(np.uint8))
-        blocks = [(i, seen[i : i + MAP_BLOCK]) for i in range(0, len(seen), MAP_BLOCK)]
-        blocks = [(i, b.tobytes()) for i, b in blocks if b.any()]
+            block, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.argsort(block, kind="stable")
+            block, bit = block[order], bit[order]
+            for part in np.split(np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1):
+                if len(part):
+                    bits = blocks.setdefault(int(block[part[0]]), np.zeros(MAP_BLOCK, np.uint8))
+                    np.bitwise_or.at(bits, bit[part] >> 3, (1 << (bit[part] & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_pydict(
-            {"block": pa.array([i for i, _ in blocks], pa.int32()), "bits": pa.array([b for _, b in blocks], pa.binary())}
+            {"block": pa.array(list(blocks), pa.int32()), "bits": pa.array([x.tobytes() for x in blocks.values()], pa.binary())}
         )
 
-    def merge(block):
-        bits = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in block.column("bits")])
-        return pa.table({"block": block.column("block")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    whole = np.zeros(MAP_BITS // 8, np.uint8)
-    merged = keys.select("key").mapInArrow(partial, "block int, bits binary").groupBy("block").applyInArrow(merge, "block int, bits binary")
-    for row in merged.toLocalIterator():
-        whole[row["block"] : row["block"] + MAP_BLOCK] = np.frombuffer(row["bits"], np.uint8)
+    whole = np.zeros(size // 8, np.uint8)
+    for row in placed.repartition("block").mapInArrow(merge, "block int, bits binary").toLocalIterator():
+        whole[row["block"] * MAP_BLOCK : (row["block"] + 1) * MAP_BLOCK] = np.frombuffer(row["bits"], np.uint8)
     return whole.tobytes()
 
 
+def _met(index: DataFrame, probe: DataFrame, share: float) -> DataFrame:
+    """Entries of both sides with one key, as e and t.
+
+    A key of more than HOT_KEY evaluation texts is cut into a grid: each side into slices by text, as many as its own entries need (those
+    of the training side by ``share``, its texts for one evaluation text), and sent to all slices of the other.
+    """
+    counted = index.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_KEY)
+    hot = cut(counted.select("key", F.ceil(F.col("_n") / HOT_KEY).cast("int").alias("_e"), F.ceil(F.col("_n") * share / HOT_KEY).cast("int").alias("_t")), "hot")
+    if not hot.limit(1).count():
+        return index.alias("e").join(probe.alias("t"), F.col("e.key") == F.col("t.key"))
+
+    def sliced(side: DataFrame, own: str, other: str) -> DataFrame:
+        known = side.join(F.broadcast(hot), "key", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_e", "_t")})  # at most one key in HOT_KEY entries
+        mine = F.pmod(F.xxhash64("_cid"), F.col(own)).cast("int").alias(f"{own}_at")
+        return known.select(*side.columns, mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_at"))
+
+    e, t = sliced(index, "_e", "_t").alias("e"), sliced(probe, "_t", "_e").alias("t")
+    return e.join(t, (F.col("e.key") == F.col("t.key")) & (F.col("e._e_at") == F.col("t._e_at")) & (F.col("e._t_at") == F.col("t._t_at")))
+
+
 def _verified(pairs: DataFrame) -> DataFrame:
     """Of pairs with both word lines the exact distance, where within the bound."""
 
@@ -204,18 +221,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             a = [x.split(" ") for x in batch.column("_line_e").to_pylist()]
             b = [x.split(" ") for x in batch.column("_line_t").to_pylist()]
-            got = np.zeros(len(a), np.int32)
-            shapes: dict[tuple[int, int], list[int]] = {}
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                shapes.setdefault((len(x), len(y)), []).append(i)
-            for (n, m), group in shapes.items():
-                step = max(1, 1_000_000 // (m + 1))
-                for k in range(0, len(group), step):
-                    part = group[k : k + step]
-                    number: dict[str, int] = {}
-                    x = np.array([[number.setdefault(w, len(number)) for w in a[i]] for i in part])
-                    y = np.array([[number.setdefault(w, len(number)) for w in b[i]] for i in part])
-                    got[part] = edits(x, y)
+            got = distances(a, b).astype(np.int32)
             longer = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int32)
             keep = pa.array(got * 5 <= longer)
             yield pa.RecordBatch.from_arrays(
@@ -278,22 +284,22 @@ class Overlaps:
         index = cut(_keys(longer.where("_e"), shared), "index")
         bits = spark.sparkContext.broadcast(_key_map(index))
         probe = _keys(longer.where("_t"), shared, bits)
-        e, t = index.alias("e"), probe.alias("t")
-        most = F.greatest("e.n", "t.n")
+        held, trained = classes.agg(F.count_if("_e"), F.count_if("_t")).first()
+        words = {x: F.shiftright(f"{x}.at", 32) for x in "et"}
+        place = {x: F.shiftright(F.shiftleft(f"{x}.at", 32), 32) for x in "et"}
+        most = F.greatest(words["e"], words["t"])
         candidates = (
-            e.join(t, F.col("e.key") == F.col("t.key"))
+            _met(index, probe, trained / max(1, held))
             .where(
                 (F.col("e._cid") != F.col("t._cid"))
-                & (F.abs(F.col("e.n") - F.col("t.n")) * 5 <= most)
-                & (
-                    (F.col("e.place") < 0)
-                    | (F.col("t.place") < 0)
-                    | (F.abs(F.col("e.place") - F.col("t.place")) * 5 <= most)
-                )
+                & (F.abs(words["e"] - words["t"]) * 5 <= most)
+                & (F.bit_count(F.col("e.marks").bitwiseXOR(F.col("t.marks"))) * 5 <= most * 2)
+                & ((place["e"] < 0) | (place["t"] < 0) | (F.abs(place["e"] - place["t"]) * 5 <= most))
             )
             .select(F.col("e._cid").alias("_cid_e"), F.col("t._cid").alias("_cid_t"), most.alias("_most"))
             .distinct()
         )
+        self.candidates = candidates
         left = classes.where("_e").select(F.col("_cid").alias("_cid_e"), F.col("_line").alias("_line_e"))
         right = classes.where("_t").select(F.col("_cid").alias("_cid_t"), F.col("_line").alias("_line_t"))
         near = (
