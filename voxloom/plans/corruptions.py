@@ -51,7 +51,7 @@ def corrupt_half(spark, folder):
     return _corrupted(spark, folder, "half")
 
 
-_LEN = f"2 + {sql_hash('sample_index', repr('length'))} % (n - b - 1)"  # b is at most n - 2
+_LEN = f"2 + {sql_hash('sample_index', repr('length'))} % greatest(n - b - 1, 1)"
 _KEY = sql_hash("sample_index", "'order'", "i")
 
 
