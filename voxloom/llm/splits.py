@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.keys import filled_key
 from ..operators.spread import spread_join
-from ..storage import cut
+from ..storage import cut, discard
 
 #: The number of entity types that can be told apart by one character.
 TYPES = "abcdefghijklmnopqrstuvwxyz"
@@ -26,30 +26,25 @@ def entity_nodes(entities: Sequence[tuple[str, Sequence[str]]]) -> list[Column]:
     return nodes
 
 
-def _minima(edges: DataFrame, down: bool) -> tuple[DataFrame, DataFrame, int]:
-    """Each node's smallest neighbour or itself, over all neighbours or (down) the smaller ones."""
+def _star(edges: DataFrame, small: bool, count: int) -> DataFrame:
+    """One large-star (or small-star) step over ``count`` edges (lo, hi) with lo < hi; the edges read are deleted."""
     smaller = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-    near = smaller if down else smaller.unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = cut(
-        near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_size")), "minima"
-    )
-    return near, least, least.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
-
-
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """One large-star (or small-star) step; edges are (lo, hi) with lo < hi."""
-    near, least, total = _minima(edges, small)
-    joined = spread_join(near, least, ["u"], "_size", total, F.col("v"))
+    near = smaller if small else smaller.unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+    # each node's smallest neighbour or itself, over all neighbours or (small) the smaller ones
+    least = cut(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_size")), "minima")
+    joined = spread_join(near, least, ["u"], "_size", count if small else 2 * count, F.col("v"))
     if small:
         linked = joined.select("m", F.col("v").alias("n")).unionByName(least.select("m", F.col("u").alias("n")))
     else:
         linked = joined.where(F.col("v") > F.col("u")).select("m", F.col("v").alias("n"))
-    return cut(linked.where(F.col("m") < F.col("n")).select(F.col("m").alias("lo"), F.col("n").alias("hi")).distinct(), "edges")
+    made = cut(linked.where(F.col("m") < F.col("n")).select(F.col("m").alias("lo"), F.col("n").alias("hi")).distinct(), "edges")
+    discard(least, edges)
+    return made
 
 
 def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(lo, hi))")).first()
-    return tuple(row)
+    """The number of edges and a sum that tells one set of edges from another."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi"))).first())
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -67,7 +62,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
     state = _state(now)
     for _ in range(rounds):
-        now = _star(_star(now, small=False), small=True)
+        wide = _star(now, False, state[0])
+        now = _star(wide, True, wide.count())
         state, before = _state(now), state
         if state == before:
             break
