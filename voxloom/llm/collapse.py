@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import letters_digits, once
 from ..operators.spread import hot_limit, spread_join
-from ..storage import cut
+from ..storage import cut, discard
 
 
 def text_fields(text: str) -> Column:
@@ -108,6 +108,7 @@ def collapse_copies(rows: DataFrame, id_col: str, fields: Column) -> DataFrame:
         .select(*key, "keep_id", "_id", "_same", F.when(~F.col("_same"), F.col("_fields")).alias("_fields")),
         "verified",
     )
+    discard(members, groups)
     found = verified.where("_same").select("keep_id", F.col("_id").alias("copy_id"))
     if verified.where(~F.col("_same")).limit(1).count():
         rest = verified.where(~F.col("_same")).select("_id", *key, F.to_json(F.array_sort(_counted(F.col("_fields")))).alias("_exact"))
