@@ -25,22 +25,32 @@ MOST_SOURCES = 10_000
 
 
 @lru_cache(maxsize=4)
-def encoding(path: str):
-    """The byte-level BPE of a file of ranks."""
-    import public_tokenizers
+def encoding(ranks: bytes, pattern: str):
+    """The byte-level BPE of the contents of a file of ranks."""
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    known = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+
+
+def tokenizer_of(path: str) -> tuple[bytes, str]:
+    """A file of ranks and the pattern that parts text for it, as the driver finds them."""
+    import public_tokenizers
+
+    return Path(path).read_bytes(), public_tokenizers.PATTERN
 
 
 def with_tokens(rows: DataFrame, text: str, out: str = "tokens", path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
-    """``rows`` without ``text`` but with its number of tokens; null counts as 0."""
+    """``rows`` without ``text`` but with its number of tokens; null counts as 0.
+
+    The driver reads the file of ranks (a megabyte or so) and ships it, so executors need no copy.
+    """
     at = rows.columns.index(text)
     kept = [i for i in range(len(rows.columns)) if i != at]
+    shared = rows.sparkSession.sparkContext.broadcast(tokenizer_of(path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encode = encoding(*shared.value).encode_ordinary
         for batch in batches:
             sizes = [len(encode(t)) if t else 0 for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
