@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+from .lookalike import LOOKALIKES
+
 _LATEST = """
 WITH latest AS (
   SELECT sample_index, similarity, lower(trim(model)) AS model, lower(trim(voice)) AS voice
@@ -80,6 +84,30 @@ d AS (SELECT near.l, near.r, greatest(a.n, z.n) AS most, list_reduce(list_transf
 link AS (SELECT l, r, CAST(edits AS INTEGER) AS edits FROM d WHERE edits * 5 <= most UNION ALL SELECT cid, cid, 0 FROM c WHERE e AND t)
 """
 
+
+
+def _looks() -> str:
+    """Forms by plain replacement of characters: letters by a table, widths by their distance, then composed marks and single spaces."""
+    given = LOOKALIKES.split()
+    swaps = dict(zip(given[::2], given[1::2], strict=True)) | {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)} | {"　": " ", " ": " ", " ": " "}
+    for char in map(chr, (*range(0x370, 0x530), *range(0x1F00, 0x2000))):  # accented letters of other scripts
+        base, *marks = unicodedata.normalize("NFD", char)
+        if marks and base in swaps:
+            swaps[char] = unicodedata.normalize("NFC", swaps[base] + "".join(marks))
+    one = {a: b for a, b in swaps.items() if len(b) == 1}
+    text = r"regexp_replace(text, '[\x{ad}\x{34f}\x{61c}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202c}\x{2060}-\x{2064}\x{2066}-\x{206f}\x{feff}\x{fe00}-\x{fe0f}]', '', 'g')"
+    text = f"translate({text}, '{''.join(one).replace(chr(39), chr(39) * 2)}', '{''.join(one.values()).replace(chr(39), chr(39) * 2)}')"
+    for joined, plain in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("Ĳ", "IJ"), ("ĳ", "ij"), ("Ǆ", "DŽ"), ("ǆ", "dž"), ("Ǉ", "LJ"), ("ǉ", "lj"), ("Ǌ", "NJ"), ("ǌ", "nj"), ("ŉ", "ʼn")):
+        text = f"replace({text}, '{joined}', '{plain}')"
+    return rf"trim(regexp_replace(nfc_normalize({text}), '[\s\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
+
+
+_LOOKS = f"""
+WITH f AS (SELECT audio_id, text, {_looks()} AS form FROM synthetic_audio WHERE text IS NOT NULL),
+s AS (SELECT form, text, count(*) AS n, min(audio_id) AS least FROM f WHERE form <> '' GROUP BY ALL),
+c AS (SELECT form, min(least) AS class_id, sum(n) AS everything FROM s GROUP BY 1 HAVING count(*) > 1)
+"""
+
 ORACLES: dict[str, str] = {
     "p1_found": _LATEST + "SELECT o.sample_index FROM ok o JOIN cut c USING (model, voice) WHERE o.similarity >= c.cutoff",
     "p1_cutoffs": _LATEST
@@ -124,6 +152,9 @@ SELECT split, source AS dataset_source, count(*) FILTER (exact) AS exact_rows, c
     "p4_assigned": f"{_SPLITS} SELECT sample_index, component, split FROM assigned",
     "p4_shares": f"""{_SPLITS} SELECT a.split, any_value(s.share) AS target_share, count(*) AS rows, count(DISTINCT a.component) AS components, count(*) / sum(count(*)) OVER () AS actual_share
 FROM assigned a LEFT JOIN split_targets s USING (split) GROUP BY a.split""",
+    "p5_forms": f"SELECT audio_id, text, {_looks()} AS form FROM synthetic_audio",
+    "p5_found": f"{_LOOKS} SELECT DISTINCT least(a.audio_id, b.audio_id) AS id_a, greatest(a.audio_id, b.audio_id) AS id_b FROM f a JOIN f b ON a.form = b.form AND a.text < b.text WHERE a.form <> ''",
+    "p5_classes": f"{_LOOKS} SELECT f.audio_id, c.class_id, CAST(c.everything - s.n AS BIGINT) AS links FROM f JOIN c USING (form) JOIN s ON s.form = f.form AND s.text = f.text",
     "p2_found": f"{_COPIES} SELECT t AS table_name, k AS keep_id, id AS copy_id FROM g WHERE id <> k",
     "p2_counts": f"{_COPIES} SELECT t AS table_name, k AS keep_id, count(*) AS copies FROM g GROUP BY t, k HAVING count(*) > 1",
     "p2_collapsed": f"""{_COPIES},
