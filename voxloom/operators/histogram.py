@@ -62,7 +62,7 @@ def validate(candidates: DataFrame, sentence: str, target: str, arrival: str) ->
     )
     firsts = checked.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min(arrival).alias("_first"))
     return (
-        even_join(checked, firsts, "_key", "left")
+        even_join(checked, firsts, "_key", "left", candidates.count())
         .withColumn("reason", F.coalesce("reason", F.when(F.col(arrival) > F.col("_first"), "duplicate")))
         .drop("_key", "_first")
     )

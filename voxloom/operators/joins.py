@@ -12,13 +12,18 @@ from .ordered import global_position
 from .spread import even_join
 
 
-def _digest(text: Column) -> Column:
-    """16 bytes for the normalised text; null for null and empty texts (blank ones are the key '')."""
-    return F.when(text.isNotNull() & (text != ""), F.unhex(F.md5(norm_key(text))))
+def _filled(text: str) -> Column:
+    """Neither null nor empty (blank texts are filled, with the key '')."""
+    return F.col(text).isNotNull() & (F.col(text) != "")
+
+
+def _digest(text: str) -> Column:
+    """16 bytes for the normalised text. Never null, so that no join adds a filter that would compute it again."""
+    return F.coalesce(F.unhex(F.md5(norm_key(F.col(text)))), F.lit(b""))
 
 
 def _keys(df: DataFrame, text: str) -> DataFrame:
-    return df.select(_digest(F.col(text)).alias("_key")).where(F.col("_key").isNotNull()).distinct()
+    return df.where(_filled(text)).select(_digest(text).alias("_key")).distinct()
 
 
 def match_text(left: DataFrame, right: DataFrame, text: str, other: str | None = None, keep: str = "matched") -> DataFrame:
@@ -26,16 +31,18 @@ def match_text(left: DataFrame, right: DataFrame, text: str, other: str | None =
 
     Null and empty texts match nothing. Texts are compared by digests of their keys; a text of very many rows is joined in slices.
     """
-    keyed = left.withColumn("_key", _digest(F.col(text)))
+    total = left.count()
     if keep == "matched":
-        return even_join(keyed.where(F.col("_key").isNotNull()), _keys(right, other or text), "_key", "left_semi").drop("_key")
-    return even_join(keyed, _keys(right, other or text), "_key", "left_anti").drop("_key")
+        keyed = left.where(_filled(text)).withColumn("_key", _digest(text))
+        return even_join(keyed, _keys(right, other or text), "_key", "left_semi", total).drop("_key")
+    keyed = left.withColumn("_key", F.when(_filled(text), _digest(text)))
+    return even_join(keyed, _keys(right, other or text), "_key", "left_anti", total).drop("_key")
 
 
 def match_statistics(left: DataFrame, right: DataFrame, text: str, other: str | None = None) -> DataFrame:
     """One row: rows, matched, excluded, rate in per cent (0 for no rows), distinct matched texts as written."""
     # rows of one text are counted before the join, so a text of very many rows is one row there
-    counted = left.groupBy(F.col(text).alias("_text")).agg(F.count("*").alias("_n")).withColumn("_key", _digest(F.col("_text")))
+    counted = left.groupBy(F.col(text).alias("_text")).agg(F.count("*").alias("_n")).withColumn("_key", F.when(_filled("_text"), _digest("_text")))
     flagged = counted.join(_keys(right, other or text).withColumn("_hit", F.lit(True)), "_key", "left")
     hit = F.col("_hit").isNotNull()
     rows, matched = F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum(F.when(hit, F.col("_n"))), F.lit(0))
@@ -57,7 +64,7 @@ def attach_last(left: DataFrame, right: DataFrame, key: str, order: str, values:
     last = right.where(F.col(key).isNotNull()).groupBy(key).agg(
         F.max(F.struct(F.col(order), *[F.col(v) for v in values])).alias("_last")
     )
-    joined = even_join(left.drop(*values), last, key, "left")
+    joined = even_join(left.drop(*values), last, key, "left", left.count())
     out = [
         F.when(F.col("_last").isNull(), F.lit((missing or {}).get(v))).otherwise(F.col(f"_last.{v}")).alias(v) for v in values
     ]

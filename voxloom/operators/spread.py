@@ -64,19 +64,20 @@ def spread_join(
     return left.drop("_slices").join(right, [*keys, "_slice"], how).drop("_slice")
 
 
-def even_join(rows: DataFrame, table: DataFrame, key: str, how: str) -> DataFrame:
+def even_join(rows: DataFrame, table: DataFrame, key: str, how: str, total: int | None = None) -> DataFrame:
     """Join ``rows`` with ``table`` on ``key``, in slices where a key has very many ``rows``.
 
     For keys that ``table`` has once. ``how`` is inner, left, left_semi or left_anti. The keys of ``rows`` are counted by partial
     aggregates; at most HOT_PARTS can be hot, and only their list is broadcast. Rows with a null key match nothing and
-    are spread too. Rows that are alike in all columns share a slice.
+    are spread too. Rows that are alike in all columns share a slice. ``total`` is the number of ``rows`` at most, where it
+    is cheaper to know than by computing the keys.
     """
-    total = rows.count()
+    total = rows.count() if total is None else total
     limit = hot_limit(total)
     if total <= limit:
         return rows.join(table, key, how)
     hot = cut(
-        rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+        rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)  # a null among them matches nothing
         .select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_slices")),
         "hot",
     )
